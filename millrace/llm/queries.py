@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from millrace.llm.bpe import round_trip_digests
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.sources.tables import table
 
@@ -31,3 +34,12 @@ FROM k WINDOW w AS (PARTITION BY text_sha256)
 )
 def op6(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+#: The vocabulary that op3 and the pipeline encode with.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@_query("op3_bpe")
+def op3(spark, sf_dir):
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
