@@ -12,7 +12,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,10 +54,12 @@ class Codec:
         symbols = _byte_symbols()
         value = {s: b for b, s in enumerate(symbols)}
         self.byte_ids = [vocab[s] for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.ranks[vocab[left], vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max(max(vocab.values()), max(self.special.values(), default=0)) + 1
         self.token_bytes = [b""] * size
@@ -78,18 +79,18 @@ class Codec:
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pre-token: always the lowest-ranked pair, the leftmost first."""
         ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 48:
+        if len(ids) > 256:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        rank, made, never = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(pair, never) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < never:
+            at = ranks.index(best)
+            ids[at] = made[best]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -100,17 +101,17 @@ class Codec:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (m := self.merges.get((ids[i], ids[j]))) is not None:
-                heapq.heappush(heap, (m[0], i, ids[i], ids[j], m[1]))
+            if j < n and (rank := self.ranks.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, left, right, made = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -233,12 +234,11 @@ def _share(docs: DataFrame, text: str, tokenizer_path: str, lexicon_words: int):
     sc = docs.sparkSession.sparkContext
     compiled = compile_words(vocabulary, frequent_words(docs, text, lexicon_words))
     name = f"lexicon-{hashlib.sha256(compiled).hexdigest()[:24]}.bin"
-    with tempfile.TemporaryDirectory() as folder:  # Spark's file server takes its own copy for the executors
-        path = os.path.join(folder, name)
+    path = os.path.join(SparkFiles.getRootDirectory(), name)  # the driver's own folder, gone with the session
+    if not os.path.exists(path):
         with open(path, "wb") as f:
             f.write(compiled)
-        sc.addFile(path)
-        SparkFiles.get(name)
+    sc.addFile(path)  # Spark's file server hands it to the executors
     return sc.broadcast(vocabulary), name
 
 
