@@ -22,12 +22,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import pieces
 from millrace.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 32768  # words in the lexicon; bounds what the driver collects and each executor maps
 MEMO_WORDS = 200_000  # words a task remembers
 COUNTED_WORDS = 300_000  # distinct words a task holds before it hands their counts on
-TEXT_CHUNK = 1 << 22  # characters in a piece of an Arrow batch that is worked on at once
 
 # The split pattern of byte-level BPE vocabularies, with Unicode's white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -259,7 +259,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, name)
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in pieces(batch, 1):
                 ids = [codec.encode(x or "") for x in piece.column(1).to_pylist()]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
@@ -333,14 +333,3 @@ def round_trip_digests(
 def _two(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about TEXT_CHUNK bytes of text (column 1) each."""
-    start, held = 0, 0
-    for i, x in enumerate(batch.column(1)):
-        held += len(x.as_buffer()) if x.is_valid else 0
-        if held >= TEXT_CHUNK:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)

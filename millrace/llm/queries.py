@@ -6,6 +6,7 @@ import public_tokenizers
 
 from millrace.llm.bpe import round_trip_digests
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.langid import predict_languages
 from millrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -43,3 +44,8 @@ TOKENIZER = "byte_bpe_50k.json"
 @_query("op3_bpe")
 def op3(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@_query("op4_language_id")
+def op4(spark, sf_dir):
+    return predict_languages(table(spark, sf_dir, "documents"))
