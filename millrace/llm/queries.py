@@ -6,7 +6,9 @@ import public_tokenizers
 
 from millrace.llm.bpe import round_trip_digests
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.langid import predict_languages
+from millrace.llm.pii import find_personal_data
 from millrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -49,3 +51,13 @@ def op3(spark, sf_dir):
 @_query("op4_language_id")
 def op4(spark, sf_dir):
     return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_fingerprints")
+def op1(spark, sf_dir):
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_personal_data")
+def op9(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
