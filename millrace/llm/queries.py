@@ -9,6 +9,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.langid import predict_languages
 from millrace.llm.pii import find_personal_data
+from millrace.llm.warc import archive_round_trip
 from millrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -61,3 +62,19 @@ def op1(spark, sf_dir):
 @_query("op9_personal_data")
 def op9(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op7_warc",
+    """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q
+""",
+)
+def op7(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages"))
