@@ -8,6 +8,7 @@ from millrace.llm.bpe import round_trip_digests
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.langid import predict_languages
+from millrace.llm.mixing import mix
 from millrace.llm.pii import find_personal_data
 from millrace.llm.warc import archive_round_trip
 from millrace.sources.tables import table
@@ -78,3 +79,9 @@ FROM q
 )
 def op7(spark, sf_dir):
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@_query("op2_mixing")
+def op2(spark, sf_dir):
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
