@@ -51,8 +51,17 @@ def repeat_filter(keyed: DataFrame, key: str, bits: int) -> DataFrame:
     """The Bloom filter of possibly repeated keys as (bucket, bitmap) rows, at most ``bits / 8`` bytes in all."""
     cell = F.explode(F.array_distinct(F.array(*_cells(F.col(key), bits)))).alias("cell")
     twice = keyed.select(cell).groupBy("cell").agg(F.count("*").alias("hits")).where("hits > 1")
+    return _bitmaps(twice)
+
+
+def membership_filter(keyed: DataFrame, key: str, bits: int) -> DataFrame:
+    """The Bloom filter of all keys, in the form of ``repeat_filter``."""
+    return _bitmaps(keyed.select(F.explode(F.array(*_cells(F.col(key), bits))).alias("cell")))
+
+
+def _bitmaps(cells: DataFrame) -> DataFrame:
     return (
-        twice.select(
+        cells.select(
             F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket"),
             F.bitmap_bit_position(F.col("cell") + 1).alias("bit"),
         )

@@ -9,6 +9,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.langid import predict_languages
 from millrace.llm.mixing import mix
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import find_personal_data
 from millrace.llm.warc import archive_round_trip
 from millrace.sources.tables import table
@@ -85,3 +86,25 @@ def op7(spark, sf_dir):
 def op2(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query(
+    "op8_near_dedup",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+             ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n + b.n) AS n
+      FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n - c)),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+""",
+)
+def op8(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
