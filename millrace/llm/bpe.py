@@ -26,7 +26,7 @@ from millrace.llm.batches import pieces
 from millrace.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 32768  # words in the lexicon; bounds what the driver collects and each executor maps
-MEMO_WORDS = 200_000  # words a task remembers
+MEMO_WORDS = 400_000  # words, and as many units of text, that a task remembers
 COUNTED_WORDS = 300_000  # distinct words a task holds before it hands their counts on
 
 # The split pattern of byte-level BPE vocabularies, with Unicode's white space spelled out.
@@ -72,8 +72,15 @@ class Codec:
         self._split = regex.compile(SPLIT)
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._lexicon = lexicon
+        never = len(self.made)
+        pairs = np.array([left << 32 | right for left, right in self.ranks] + [2**62], np.int64)
+        order = np.argsort(pairs)
+        self._pair_keys = pairs[order]
+        self._pair_ranks = np.append(np.arange(never), never)[order]
+        self._made = np.array([*self.made, 0], np.int64)
+        self._byte_ids = np.array(self.byte_ids, np.int64)
         self._units: dict[str, bytes] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
         self._memo_words = memo_words
 
     def merge(self, word: bytes) -> list[int]:
@@ -120,61 +127,117 @@ class Codec:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a pre-token, by the lexicon or by exact merging."""
-        ids = self._words.get(word)
-        if ids is None:
-            key = word.encode()
-            ids = self._lexicon.get(key) if self._lexicon is not None else None
-            if ids is None:
-                ids = self.merge(key)
-            if len(word) < 100:
-                if len(self._words) >= self._memo_words:
-                    self._words.clear()
-                self._words[word] = ids
-        return ids
-
-    def _look_up(self, units: list[str]) -> list[bytes]:
-        memo, split, word_ids = self._units, self._split.findall, self._word
-        out = []
-        for unit in units:
-            known = memo.get(unit)
-            if known is None:
-                ids = [i for word in split(unit) for i in word_ids(word)]
-                known = np.array(ids, np.uint32).tobytes()
-                if len(unit) < 100:
-                    if len(memo) >= self._memo_words:
-                        memo.clear()
-                    memo[unit] = known
-            out.append(known)
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self._pair_keys, key)
+        return np.where(self._pair_keys[at] == key, self._pair_ranks[at], len(self.made))
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Exact BPE of many non-empty pre-tokens together: each round makes the next merge of every word."""
+        never = len(self.made)
+        out: list[bytes] = [b""] * len(words)
+        numbers = np.arange(len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self._byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        starts = np.cumsum(sizes) - sizes
+        ranks = np.full(len(ids), never)
+        inner = np.ones(len(ids), bool)
+        inner[starts + sizes - 1] = False
+        at = np.flatnonzero(inner)
+        ranks[at] = self._rank(ids[at], ids[at + 1])
+        while len(sizes):
+            best = np.minimum.reduceat(ranks << 32 | np.arange(len(ids)), starts)
+            goes = best >> 32 < never
+            if goes.sum() * 2 <= len(goes):  # hand out the finished words and go on with the others
+                flat = ids.astype(np.uint32).tobytes()
+                for k in np.flatnonzero(~goes).tolist():
+                    out[numbers[k]] = flat[4 * starts[k] : 4 * (starts[k] + sizes[k])]
+                stay = np.repeat(goes, sizes)
+                ids, ranks, numbers, sizes = ids[stay], ranks[stay], numbers[goes], sizes[goes]
+                starts = np.cumsum(sizes) - sizes
+                continue
+            place = best[goes] & 0xFFFFFFFF
+            ids[place] = self._made[best[goes] >> 32]
+            keep = np.ones(len(ids), bool)
+            keep[place + 1] = False
+            ranks[place] = ranks[place + 1]  # never, where the pair ended its word
+            ids, ranks = ids[keep], ranks[keep]
+            place = place - np.arange(len(place))
+            sizes = sizes - goes
+            starts = np.cumsum(sizes) - sizes
+            right = place[place + 1 < (starts + sizes)[goes]]
+            ranks[right] = self._rank(ids[right], ids[right + 1])
+            left = place[place > starts[goes]] - 1
+            ranks[left] = self._rank(ids[left], ids[left + 1])
         return out
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
+    def _learn(self, units: set[str]) -> None:
+        """Put the ids (as uint32 bytes) of new units in the memo, by the lexicon or by exact merging."""
+        parts = {u: [u] if u in self.special else self._split.findall(u) for u in units}
+        new = list({w for words in parts.values() for w in words if w not in self._words})
+        if len(self._words) + len(new) > self._memo_words:
+            self._words.clear()
+            new = list({w for words in parts.values() for w in words})
+        known = self._words
+        encoded = [w.encode() for w in new]
+        index = self._lexicon.find(encoded) if self._lexicon is not None and new else np.full(len(new), -1)
+        rest = []
+        for i, (word, at) in enumerate(zip(new, index.tolist(), strict=True)):
+            if word in self.special:
+                known[word] = np.uint32(self.special[word]).tobytes()
+            elif at >= 0:
+                known[word] = self._lexicon.outputs(at).tobytes()
+            elif len(encoded[i]) > 256:
+                known[word] = np.array(self.merge(encoded[i]), np.uint32).tobytes()
+            else:
+                rest.append(i)
+        if rest:
+            for i, ids in zip(rest, self.merge_many([encoded[i] for i in rest]), strict=True):
+                known[new[i]] = ids
+        for unit, words in parts.items():
+            self._units[unit] = b"".join(map(known.__getitem__, words))
+
+    def _cut(self, text: str) -> list[str]:
+        """Units of a text without special tokens, whose ids do not depend on each other.
 
         Splitting before each single blank never cuts a pre-token: no pre-token holds a blank after another
         character, unless blanks follow each other or end the text. Those texts take the split pattern as a whole.
         """
         if not text:
-            return b""
+            return []
         if "  " in text or text[-1] == " ":
-            return b"".join(self._look_up(self._split.findall(text)))
+            return self._split.findall(text)
         first, *rest = text.split(" ")
-        units = [" " + x for x in rest]
-        if first:
-            units.insert(0, first)
-        return b"".join(self._look_up(units))
+        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text (uint32)."""
+    def _units_of(self, text: str) -> list[str]:
         found = list(self._special.finditer(text)) if self._special else []
         if not found:
-            return np.frombuffer(self._plain(text), np.uint32)
-        parts, at = [], 0
+            return self._cut(text)
+        units, at = [], 0
         for m in found:
-            parts += [self._plain(text[at : m.start()]), np.uint32(self.special[m[0]]).tobytes()]
+            units += [*self._cut(text[at : m.start()]), m[0]]
             at = m.end()
-        return np.frombuffer(b"".join([*parts, self._plain(text[at:])]), np.uint32)
+        return units + self._cut(text[at:])
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text."""
+        cut = [self._units_of(x) for x in texts]
+        memo = self._units
+        new = {u for units in cut for u in units if u not in memo}
+        if len(memo) + len(new) > self._memo_words:
+            memo.clear()
+            new = {u for units in cut for u in units}
+        self._learn(new)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, units)), np.uint32) for units in cut]
+        for held in (memo, self._words):
+            for u in [u for u in held if len(u) > 200] if any(len(u) > 200 for u in new) else ():
+                del held[u]
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text (uint32)."""
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -213,7 +276,8 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WOR
 def compile_words(vocabulary: str, words: list[str]) -> bytes:
     """The transducer of the words, each after a blank."""
     codec = Codec(vocabulary)
-    return compile_lexicon((f" {w}".encode(), codec.encode(f" {w}").tolist()) for w in words)
+    spaced = [f" {w}" for w in words]
+    return compile_lexicon((w.encode(), ids.tolist()) for w, ids in zip(spaced, codec.encode_many(spaced), strict=True))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -260,7 +324,7 @@ def encode_documents(
         codec = _codec(vocabulary.value, name)
         for batch in batches:
             for piece in pieces(batch, 1):
-                ids = [codec.encode(x or "") for x in piece.column(1).to_pylist()]
+                ids = codec.encode_many([x or "" for x in piece.column(1).to_pylist()])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -309,20 +373,21 @@ def round_trip_digests(
         codec = _codec(vocabulary.value, name)
         sha = hashlib.sha256
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                ids = codec.encode(x.as_py() or "").tolist()
-                joined = ",".join(map(codec.decimal.__getitem__, ids)).encode()
-                rows.append((len(ids), sha(joined).hexdigest(), sha(codec.decode(ids).encode()).hexdigest()))
-            n, coded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column(0),
-                    "n_tokens": pa.array(n, pa.int64()),
-                    "ids_sha256": pa.array(coded, pa.string()),
-                    "decoded_sha256": pa.array(decoded, pa.string()),
-                }
-            )
+            for piece in pieces(batch, 1):
+                n, coded, decoded = [], [], []
+                for ids in codec.encode_many([x or "" for x in piece.column(1).to_pylist()]):
+                    ids = ids.tolist()
+                    n.append(len(ids))
+                    coded.append(sha(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(sha(codec.decode(ids).encode()).hexdigest())
+                yield pa.record_batch(
+                    {
+                        "doc_id": piece.column(0),
+                        "n_tokens": pa.array(n, pa.int64()),
+                        "ids_sha256": pa.array(coded, pa.string()),
+                        "decoded_sha256": pa.array(decoded, pa.string()),
+                    }
+                )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return _two(docs, doc_id, text).mapInArrow(

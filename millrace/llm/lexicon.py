@@ -4,9 +4,8 @@ Words are added in byte order; equal suffix states are shared as the automaton g
 arc carries how many words sort before the words through it, so the sum along a path is the word's index, which
 addresses its id sequence in the output table.
 
-Layout (little-endian uint32): magic, states, arcs, words, ids; then first arc of each state (states + 1), arc
-labels, arc targets, arc counts, first id of each word (words + 1), ids; final states are marked in bit 31 of
-"first arc".
+Layout (little-endian uint32): magic, states, arcs, words, ids; then whether each state is final, the arcs' keys
+(256 * state + byte, ascending), targets and counts, the first id of each word (words + 1), and the ids.
 """
 
 from __future__ import annotations
@@ -15,8 +14,9 @@ import mmap
 from collections.abc import Iterable, Iterator, Sequence
 from struct import pack
 
-MAGIC = 0x4D415431
-_FINAL = 1 << 31
+import numpy as np
+
+MAGIC = 0x4D415432
 
 
 class _State:
@@ -79,21 +79,20 @@ def compile_lexicon(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
         return top.words
 
     count(root)
-    first, labels, targets, counts = [], [], [], []
+    final, keys, targets, counts = [], [], [], []
     for state in order:
-        first.append(len(labels) | (_FINAL if state.final else 0))
+        final.append(int(state.final))
         before = int(state.final)
         for label, target in sorted(state.arcs.items()):
-            labels.append(label)
+            keys.append(256 * state.number + label)
             targets.append(target.number)
             counts.append(before)
             before += target.words
-    first.append(len(labels))
     starts, ids = [0], []
     for _, out in entries:
         ids.extend(out)
         starts.append(len(ids))
-    numbers = [MAGIC, len(order), len(labels), len(entries), len(ids), *first, *labels, *targets, *counts, *starts, *ids]
+    numbers = [MAGIC, len(order), len(keys), len(entries), len(ids), *final, *keys, *targets, *counts, *starts, *ids]
     return pack(f"<{len(numbers)}I", *numbers)
 
 
@@ -101,15 +100,15 @@ class Lexicon:
     """Read-only view of a compiled transducer."""
 
     def __init__(self, buffer):
-        view = memoryview(buffer).cast("I")
-        magic, states, arcs, words, ids = view[:5]
+        view = np.frombuffer(buffer, np.uint32)
+        magic, states, arcs, words, ids = view[:5].tolist()
         if magic != MAGIC:
             raise ValueError("not a compiled lexicon")
         parts, at = [], 5
-        for size in (states + 1, arcs, arcs, arcs, words + 1, ids):
+        for size in (states, arcs, arcs, arcs, words + 1, ids):
             parts.append(view[at : at + size])
             at += size
-        self.first, self.labels, self.targets, self.counts, self.starts, self.ids = parts
+        self.final, self.keys, self.targets, self.counts, self.starts, self.ids = parts
         self.states, self.size = states, words
 
     @classmethod
@@ -118,28 +117,41 @@ class Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> list[int] | None:
-        """The ids of ``word``, or None when the lexicon lacks it."""
-        state, index = 0, 0
-        first, labels = self.first, self.labels
-        for byte in word:
-            for arc in range(first[state] & ~_FINAL, first[state + 1] & ~_FINAL):
-                if labels[arc] == byte:
-                    index += self.counts[arc]
-                    state = self.targets[arc]
-                    break
-            else:
-                return None
-        if not first[state] & _FINAL:
-            return None
-        return self.ids[self.starts[index] : self.starts[index + 1]].tolist()
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The index of each word, -1 for those the lexicon lacks; all words walk the automaton together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        found = np.full(len(words), -1, np.int64)
+        if not self.size:
+            return found
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        walking = np.arange(len(words))
+        state, index = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        step = 0
+        while len(walking):
+            ended = sizes[walking] == step
+            last = ended & (self.final[state] > 0)
+            found[walking[last]] = index[last]
+            walking, state, index = walking[~ended], state[~ended], index[~ended]
+            key = 256 * state + data[starts[walking] + step]
+            arc = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            there = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), bool)
+            walking, arc = walking[there], arc[there]
+            state, index = self.targets[arc].astype(np.int64), index[there] + self.counts[arc]
+            step += 1
+        return found
+
+    def outputs(self, index: int) -> np.ndarray:
+        """The ids of the word with this index."""
+        return self.ids[self.starts[index] : self.starts[index + 1]]
 
     def __iter__(self) -> Iterator[bytes]:
         """All words, in byte order."""
         stack = [(0, b"")]
         while stack:
             state, prefix = stack.pop()
-            if self.first[state] & _FINAL:
+            if self.final[state]:
                 yield prefix
-            for arc in reversed(range(self.first[state] & ~_FINAL, self.first[state + 1] & ~_FINAL)):
-                stack.append((self.targets[arc], prefix + bytes([self.labels[arc]])))
+            low, high = np.searchsorted(self.keys, [256 * state, 256 * state + 256])
+            for arc in reversed(range(low, high)):
+                stack.append((int(self.targets[arc]), prefix + bytes([int(self.keys[arc]) % 256])))
