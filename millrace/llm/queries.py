@@ -8,9 +8,11 @@ from millrace.llm.bpe import round_trip_digests
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.langid import predict_languages
+from millrace.llm.line_templates import drop_recurring_lines
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import find_personal_data
+from millrace.llm.sentence_spans import drop_repeated_spans
 from millrace.llm.warc import archive_round_trip
 from millrace.sources.tables import table
 
@@ -108,3 +110,37 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 )
 def op8(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@_query("op10_sentence_spans")
+def op10(spark, sf_dir):
+    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op5_line_templates",
+    r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+m AS (SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'), ' '),
+                                              '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l),
+k AS (SELECT *, string_split(masked, ' ') AS w FROM m WHERE masked <> '' AND len(string_split(masked, ' ')) >= 3),
+d AS (SELECT masked, any_value(w) AS w, any_value({'n': len(w), 'a': w[1], 'b': w[2]}) AS leaf,
+             count(DISTINCT doc_id) AS docs FROM k GROUP BY masked),
+t AS (SELECT masked, leaf, docs, unnest(w) AS token, unnest(range(0, len(w))) AS place FROM d),
+f AS (SELECT leaf, place, token FROM t GROUP BY ALL HAVING sum(docs) >= 10),
+s AS (SELECT t.masked, list(CASE WHEN f.token IS NOT NULL AND t.token <> '<*>' THEN t.token ELSE '<*>' END
+                            ORDER BY t.place) AS shown
+      FROM t LEFT JOIN f ON t.leaf = f.leaf AND t.place = f.place AND t.token = f.token GROUP BY t.masked),
+p AS (SELECT masked, array_to_string(shown, ' ') AS template FROM s
+      WHERE len(list_filter(shown, lambda x: x <> '<*>')) >= 0.6 * len(shown)),
+r AS (SELECT template FROM p JOIN k USING (masked) GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT doc_id, pos FROM k JOIN p USING (masked) JOIN r USING (template))
+SELECT d.doc_id, coalesce(x.text, '') AS text, coalesce(y.n, 0) AS n_dropped FROM documents d
+LEFT JOIN (SELECT m.doc_id, string_agg(m.line, chr(10) ORDER BY m.pos) AS text FROM m
+           LEFT JOIN g ON g.doc_id = m.doc_id AND g.pos = m.pos WHERE g.pos IS NULL GROUP BY 1) x ON x.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) y ON y.doc_id = d.doc_id
+""",
+)
+def op5(spark, sf_dir):
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
