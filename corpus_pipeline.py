@@ -1,2 +1,70 @@
-"""The corpus pipeline (stages are added as their operators are)."""
-STAGES = []
+"""The corpus pipeline: language identification, exact and near deduplication, mixing, and encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.bpe import encode_documents
+from millrace.llm.exact_dedup import keep_first_copies
+from millrace.llm.langid import keep_identified
+from millrace.llm.mixing import mixed_documents
+from millrace.llm.near_dedup import keep_representatives
+from millrace.runtime import ensure_checkpoint_dir
+from millrace.sources.tables import table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter, and those whose language stays open (score below one half)."""
+    return keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal up to the case of A-Z, keep the one with the largest doc_id."""
+    return keep_first_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a similarity of 0.8 of five-word shingles, keep the smallest doc_id."""
+    return keep_representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The text that the mix takes of each document; documents of which it takes nothing go."""
+    return mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each text."""
+    return encode_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL cannot train the classifier or encode; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; what they keep goes through a folder beside the session's checkpoints."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -215,11 +215,11 @@ def mix(
     shards: int = SHARDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, pieces: one row a document.
+    """doc_id, text_hash, source, size, source_size, target, taken, pieces: one row a document.
 
-    ``pieces`` lists what the mix takes of the document: structs (shard, place, first, words), where ``first`` is the
-    0-based word at which a run of ``words`` words begins, and ``place`` orders the pieces of a shard. ``taken`` adds up
-    their words; over a source it is its target, rounded. Null texts have no words; null sources are one source; null
+    ``pieces`` lists what the mix takes of the document: structs (shard, place, turn, first, words), where ``first`` is
+    the 0-based word at which a run of ``words`` words begins, ``turn`` counts the passes through the source, and ``place``
+    orders the pieces of a shard. ``taken`` adds up their words; over a source it is its target, rounded. Null texts have no words; null sources are one source; null
     ids sort first; rows that repeat an id are taken like others. An empty table gives an empty result, and further
     columns are ignored, whatever their names. ``shards`` is a power of two.
     """
@@ -227,7 +227,10 @@ def mix(
         raise ValueError("shards must be a power of two")
     rows = cut(
         docs.select(
-            F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
+            F.col(doc_id).alias("doc_id"),
+            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+            F.col(source).cast("string").alias("source"),
+            word_count(F.col(text)).alias("size"),
         )
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -258,12 +261,12 @@ def mix(
 
     bucketed = rows.join(plan.select(F.col("source").alias("__s"), "rank", "buckets"), F.col("source").eqNullSafe(F.col("__s")))
     bucketed = cut(
-        bucketed.select("doc_id", "source", "size", "rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "buckets").alias("bucket"))
+        bucketed.select("doc_id", "text_hash", "source", "size", "rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "buckets").alias("bucket"))
     )
     sums = bucketed.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     offsets = sums.withColumn("offset", F.sum("words").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("words"))
     offsets = offsets.join(plan.drop("source"), "rank").drop("words", "buckets")
-    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = bucketed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["rank", "bucket"])
     placed = placed.withColumn("from", F.col("offset") + F.col("before"))
     return _drawn(placed, block_words, shards, seed)
@@ -302,6 +305,7 @@ def _drawn(placed: DataFrame, width: int, shards: int, seed: int) -> DataFrame:
             return F.struct(
                 shard_of(draw).cast("int").alias("shard"),
                 F.xxhash64(F.lit(seed), F.col("rank"), draw).alias("place"),
+                turn.cast("int").alias("turn"),
                 (low - start).alias("first"),
                 F.greatest(high - low, F.lit(0).cast("long")).alias("words"),
             )
@@ -313,24 +317,74 @@ def _drawn(placed: DataFrame, width: int, shards: int, seed: int) -> DataFrame:
     pieces = F.filter(
         F.flatten(F.transform(turns, lambda t: F.transform(touched, lambda b: piece(b, t)))), lambda x: x["words"] > 0
     )
-    none = F.array().cast("array<struct<shard:int,place:bigint,first:bigint,words:bigint>>")
+    none = F.array().cast("array<struct<shard:int,place:bigint,turn:int,first:bigint,words:bigint>>")
     out = placed.withColumn("pieces", F.when(size > 0, pieces).otherwise(none))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", taken.alias("taken"), "pieces")
+
+
+_BLANK = r"[\x20\x09-\x0D]"
+
+
+def _with_texts(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
+    """The distinct (id, text) rows of ``docs`` with the pieces that the mix takes of all rows alike."""
+    mixed = mix(docs, doc_id, text, **options).where("taken > 0")
+    taken = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+        F.flatten(F.collect_list("pieces")).alias("__pieces")
+    )
+    keyed = docs.withColumns({"__id2": F.col(doc_id), "__hash2": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    keyed = keyed.dropDuplicates(["__id2", "__hash2"])
+    same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2"))
+    return keyed.join(taken, same).drop("__id", "__id2", "__hash", "__hash2")
+
+
+def _words_with_blanks(text: Column) -> Column:
+    """The words of a text, each with the blanks before it."""
+    return F.regexp_extract_all(text, F.lit(f"({_BLANK}*{WORD})"), F.lit(1))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix as documents: for each pass, the text that it takes of a document, with the columns of ``docs``.
+
+    A document taken twice makes two rows; one of which a pass takes some words keeps these, in their order and with
+    their blanks, and ``n_chars``, where there is such a column, follows. Documents that the mix does not take go.
+    """
+    rows = _with_texts(docs, doc_id, text, **options)
+    turns = F.array_distinct(F.transform("__pieces", lambda p: p["turn"]))
+    rows = rows.withColumn("__turn", F.explode(turns)).withColumn(
+        "__own", F.array_sort(F.transform(F.filter("__pieces", lambda p: p["turn"] == F.col("__turn")), lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words"))))
+    )
+    count = F.aggregate("__own", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    units = _words_with_blanks(F.col(text))
+    cutout = _let(
+        units,
+        lambda u: F.array_join(
+            F.flatten(F.transform("__own", lambda p: F.slice(u, p["first"].cast("int") + 1, p["words"].cast("int")))), ""
+        ),
+    )
+    rows = rows.withColumn(text, F.when(count == word_count(F.col(text)), F.col(text)).otherwise(cutout))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def write_mixture(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", **options) -> None:
-    """Write the mixed texts as Parquet folders ``shard=<n>``, in each the pieces in their pseudo-random places.
+    """Write the pieces as Parquet folders ``shard=<n>``, in each in their pseudo-random places.
 
-    Rows: doc_id, words (array). Ids must be unique here, since texts join their pieces by id.
+    Rows: doc_id, text (the piece's words with the blanks before them).
     """
     shards = options.get("shards", SHARDS)
-    pieces = mix(docs, doc_id, text, **options).select("doc_id", F.explode("pieces").alias("p"))
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), words.alias("all"))
+    rows = _with_texts(docs, doc_id, text, **options)
+    pieces = rows.select(
+        F.col(doc_id).alias("doc_id"), _words_with_blanks(F.col(text)).alias("all"), F.explode("__pieces").alias("p")
+    )
     (
-        pieces.join(texts, "doc_id")
-        .select("doc_id", F.slice("all", F.col("p.first").cast("int") + 1, F.col("p.words").cast("int")).alias("words"), "p.shard", "p.place")
+        pieces.select(
+            "doc_id",
+            F.array_join(F.slice("all", F.col("p.first").cast("int") + 1, F.col("p.words").cast("int")), "").alias("text"),
+            "p.shard",
+            "p.place",
+        )
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "place", "doc_id")
         .drop("place")

@@ -287,3 +287,20 @@ def _class_components(rows: DataFrame, classes: DataFrame, shingle: int, percent
     if labels is None:
         return classes.sparkSession.createDataFrame([], "node long, component long")
     return labels
+
+
+def keep_representatives(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps: one id of each component.
+
+    Only rows whose id may be a dropped one (a broadcast Bloom filter of bounded size tells) shuffle with their texts.
+    """
+    decided = near_duplicates(docs, doc_id, text, shingle, percent)
+    dropped = cut(decided.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct())
+    bits = filter_bits(dropped.count())
+    bitmaps = cut(membership_filter(dropped, "__dropped", bits))
+    keyed = docs.withColumn("__key", F.col(doc_id).cast("long"))
+    tested = with_may_repeat(keyed, "__key", bitmaps, bits, "__may_drop")
+    held = tested.where("__may_drop").join(dropped, F.col("__key") == F.col("__dropped"), "left_anti")
+    return tested.where(~F.col("__may_drop")).select(*docs.columns).unionByName(held.select(*docs.columns))

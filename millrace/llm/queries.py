@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from millrace.llm.bpe import round_trip_digests
@@ -144,3 +145,8 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) y ON y.doc_id = d.doc
 )
 def op5(spark, sf_dir):
     return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
