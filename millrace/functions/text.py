@@ -18,16 +18,19 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row; an expression used within a lambda is evaluated on each call."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_shingles(text: Column, size: int = 3) -> Column:
     """Distinct ``size``-word shingles of the lower-cased letters, digits and underscores; empty when too short."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    count = F.size(words)
-    return F.when(
-        count >= size,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(count - size + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice(words, i, size), " "),
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def windows(words: Column) -> Column:
+        # Elements are fetched one by one: slice() copies the whole array on each call.
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
+        at = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])
+        shingles = F.array_distinct(F.transform(starts, at))
+        return F.when(F.size(words) >= size, shingles).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), windows)

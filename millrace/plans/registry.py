@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from millrace.plans import dedup_queries  # noqa: E402,F401
+from millrace.plans import dedup_queries, similarity_queries  # noqa: E402,F401
