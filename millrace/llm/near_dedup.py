@@ -26,17 +26,17 @@ from millrace.runtime import cut
 
 SHINGLE = 5
 PERCENT = 80  # least similarity of a link
-BANDS, ROWS = 36, 5  # a link at 80 % shares no band with a chance of 6e-7
+BANDS, ROWS = 59, 7  # a link at 80 % shares no band with a chance of 1e-6; sets at 30 % share one with 1 %
 REGISTERS = BANDS * ROWS
-BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-HUB_ROUNDS = 4
+BASE, RATE, TOP = 1.06, 4.0, 254  # a register is a byte, and tells sets of up to some 500,000 shingles apart
+HUB_ROUNDS = 6
 #: A pair is given up unchecked when its likelihood at the least similarity is so far below the best (five deviations).
 LIKELIHOOD_GAP = 12.5
-_COLUMNS = 1024
+_COLUMNS = 512
 
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, REGISTERS, np.uint64)
+_A = _RNG.integers(0, 1 << 31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, REGISTERS, np.uint32)
 _U = np.uint64
 
 
@@ -64,15 +64,15 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """The registers (uint16) of a set of 64-bit hashes. Sketches of a union are the registers' maxima."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, _U)
-    for i in range(0, len(items), _COLUMNS):
-        part = items[None, i : i + _COLUMNS] * _A[:, None]
+    """The registers (bytes) of a set of 64-bit hashes. Sketches of a union are the registers' maxima."""
+    least = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    short = (items ^ (items >> _U(32))).astype(np.uint32)
+    for i in range(0, len(short), _COLUMNS):
+        part = short[None, i : i + _COLUMNS] * _A[:, None]
         part += _B[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    uniform = (least.astype(np.float64) + 1.0) / 2.0**64
-    exponential = -np.log1p(-np.minimum(uniform, 1 - 1e-16)) / RATE
-    return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, TOP + 1).astype(np.uint16)
+    exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
+    return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, TOP + 1).astype(np.uint8)
 
 
 def bands(registers: np.ndarray) -> np.ndarray:
@@ -146,11 +146,10 @@ def _sets(size: int):
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, REGISTERS)
             yield pa.record_batch(
                 {
                     "rep": np.repeat(batch.column(0).to_numpy(), BANDS),
-                    "n": np.repeat(batch.column(1).to_numpy(), BANDS),
                     "bucket": bands(registers).ravel(),
                 }
             )
@@ -161,7 +160,7 @@ def _judged(percent: int):
         for batch in batches:
             if batch.num_rows:
                 left, right = (
-                    np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5)
+                    np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (4, 5)
                 )
                 keep, _ = plausible(left, right, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
                 yield batch.filter(pa.array(keep)).select(["a", "b", "n_a", "n_b"])
@@ -242,11 +241,11 @@ def near_duplicates(
 
 
 def _class_components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    buckets = classes.select("rep", "n", "registers").mapInArrow(_bucketed, "rep long, n long, bucket long")
+    buckets = classes.select("rep", "registers").mapInArrow(_bucketed, "rep long, bucket long")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     live = cut(buckets.join(shared, "bucket"))
     score = live.groupBy("rep").agg(F.sum("members").alias("score"))
-    live = cut(live.drop("members").join(score, "rep"))
+    live = cut(live.drop("members").join(score.join(classes.select("rep", "n"), "rep"), "rep"))
     involved = live.select("rep").distinct()
     bits = filter_bits(involved.count())
     bitmaps = cut(membership_filter(involved, "rep", bits))

@@ -97,11 +97,11 @@ def business_deadlines(spark, sf_dir):
 
 @query(
     "event_throughput",
-    "SELECT event_id, round((value - lag(value) OVER w) / nullif(epoch(ts) - epoch(lag(ts) OVER w), 0), 4) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "SELECT event_id, round((value - lag(value) OVER w) / nullif(epoch(ts) - epoch(lag(ts) OVER w), 0), 4) + 0.0 AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
 )
 def throughput(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rate = (F.col("value") - F.lag("value").over(w)) / F.nullif(F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")), F.lit(0)) * 1e6
-    return table(spark, sf_dir, "events").select("event_id", F.round(rate, 4).alias("rate"))
+    return table(spark, sf_dir, "events").select("event_id", (F.round(rate, 4) + 0.0).alias("rate"))
