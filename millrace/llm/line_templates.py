@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.llm.exact_dedup import filter_bits, membership_filter, with_may_repeat
 from millrace.runtime import cut
 
@@ -27,15 +28,18 @@ _BLANKS = r"[ \t\x0B\f\r]+"
 
 
 def _masked(line: Column) -> Column:
-    """The line with single blanks and its tokens with digits masked."""
-    line = F.regexp_replace(F.trim(F.regexp_replace(line, _BLANKS, " ")), r"[^ ]*[0-9][^ ]*", VARIABLE)
-    return line
+    """The line with single blanks and its tokens with digits masked; lines without either are only looked through."""
+    single = F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, _BLANKS, " "))).otherwise(line)
+    # Anchored where a token begins and possessive: linear in the line, however long its tokens.
+    hidden = lambda x: F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
+    return let(single, lambda x: F.when(x.rlike("[0-9]"), hidden(x)).otherwise(x))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     """doc (hash of id and text), at, masked line, its hashes m1 and m2, number of tokens and leaf."""
-    lines = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.select("doc", "at", _masked(F.col("line")).alias("masked")).where("masked <> ''")
+    # Masked within the generator: a projected column would be computed anew for each use.
+    masked = F.transform(F.split("text", "\n", -1), _masked)
+    lines = rows.select("doc", F.posexplode(masked).alias("at", "masked")).where("masked <> ''")
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return lines.select(
         "doc",
