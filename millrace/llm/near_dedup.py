@@ -4,8 +4,10 @@ One pass over the texts gives each document the hash of its shingle set and a sk
 the set's exponential variates, truncated to a power of a base close to 1. Equal sets collapse to a class. Classes that
 agree in a band of registers share a bucket. Buckets are not expanded into pairs: in each round the member that shares
 most buckets is compared with the others of its bucket that it is not yet connected with; it then leaves the bucket,
-and buckets whose members are all connected are done. What is left after ``HUB_ROUNDS`` rounds is compared pair by pair
-between components. A pair is first judged by the likelihood of its registers, then confirmed on the full sets.
+and buckets whose members are all connected are done. For the members of buckets still open after ``HUB_ROUNDS`` rounds,
+an exact prefix filter takes over: linked sets must share one of their rarest shingles, so candidates follow the shingles
+that tell the members apart rather than the pairs of a bucket. A pair is first judged by the likelihood of its registers,
+then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ PERCENT = 80  # least similarity of a link
 BANDS, ROWS = 59, 7  # a link at 80 % shares no band with a chance of 1e-6; sets at 30 % share one with 1 %
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.06, 4.0, 254  # a register is a byte, and tells sets of up to some 500,000 shingles apart
-HUB_ROUNDS = 6
+HUB_ROUNDS = 2
+SIZE_STEP = 1.02  # ratio of the size classes of the prefix filter
 #: A pair is given up unchecked when its likelihood at the least similarity is so far below the best (five deviations).
 LIKELIHOOD_GAP = 12.5
 _COLUMNS = 512
@@ -213,6 +216,62 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
+def _least_common(n_a, n_b, percent: int):
+    """Shingles that sets of these sizes must share to be linked."""
+    return F.ceil(percent * (n_a + n_b) / (100 + percent)).cast("int")
+
+
+def _size_class(n):
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Index and probe rows (token, class, rep, n, label, at) of the members' prefixes, rarest shingles first.
+
+    A pair is looked for from its larger set. The smaller one is indexed with the shingles among which one is shared
+    with any larger set it is linked to; the larger one probes each size class with as many as that class demands.
+    """
+    own = members.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+    tokens = own.select("rep", F.explode("items").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    ranked = tokens.join(common, "token", "left").groupBy("rep").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "token"))).alias("items")
+    )  # the set of one document
+    ranked = cut(ranked.join(members, "rep"))
+    n = F.col("n").cast("int")
+    row = ["rep", "n", "label", F.col("t.holders").alias("holders"), F.col("t.token").alias("token"), "at"]
+    index = ranked.select(
+        "rep", "n", "label", F.posexplode(F.slice("items", F.lit(1), n - _least_common(n, n, percent) + 1)).alias("at", "t")
+    ).select(*row, _size_class(n).alias("class"))
+    least = F.ceil(percent * n / 100).cast("int")
+    probed = ranked.withColumn("class", F.explode(F.sequence(_size_class(least) - 1, _size_class(n))))
+    low = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("class"))).cast("int"))
+    length = F.greatest(F.lit(0), n - _least_common(low, n, percent) + 1)
+    probe = probed.select(
+        "rep", "n", "label", "class", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "t")
+    ).select(*row, "class")
+    return tuple(x.where("holders > 1").drop("holders") for x in (index, probe))
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components among (rep, n, label) members that may be linked: none is lost.
+
+    Of two labels that meet under a key, one is not the key's most frequent: only rows of other labels meet all rows.
+    """
+    index, probe = _prefixes(members, sets, percent)
+    index = index.select("token", "class", *(F.col(x).alias(f"{x}_other") for x in ("n", "label", "at")), F.col("rep").alias("other"))
+    counts = index.groupBy("token", "class", "label_other").agg(F.count("*").alias("size"))
+    usual = counts.groupBy("token", "class").agg(F.max(F.struct("size", "label_other"))["label_other"].alias("usual"))
+    probe, index = (cut(x.join(usual, ["token", "class"])) for x in (probe, index))
+    smaller = (F.col("n_other") < F.col("n")) | ((F.col("n_other") == F.col("n")) & (F.col("other") < F.col("rep")))
+    ahead = F.least(F.col("n") - F.col("at"), F.col("n_other") - F.col("at_other"))  # what they may still share
+    enough = ahead >= _least_common(F.col("n"), F.col("n_other"), percent)
+    apart = F.col("label") != F.col("label_other")
+    first = probe.where("label <> usual").join(index.drop("usual"), ["token", "class"])
+    second = probe.where("label = usual").join(index.where("label_other <> usual").drop("usual"), ["token", "class"])
+    return _pairs(first.where(smaller & enough & apart).unionByName(second.where(smaller & enough)), percent)
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -275,12 +334,10 @@ def _class_components(rows: DataFrame, classes: DataFrame, shingle: int, percent
             hub = hub.select("bucket", (-F.col("hub.col2")).alias("other"), F.col("hub.n").alias("n_other"), F.col("hub.label").alias("label_other"))
             joined = rows_now.join(hub, "bucket")
             live = joined.where("rep <> other").select("bucket", "rep", "n", "score")
+            pairs = _pairs(joined, percent)
         else:
-            other = rows_now.select(
-                "bucket", F.col("rep").alias("other"), F.col("n").alias("n_other"), F.col("label").alias("label_other")
-            )
-            joined = rows_now.join(other, "bucket").where("rep < other")
-        new = links.confirm(cut(_pairs(joined, percent)))
+            pairs = _prefix_pairs(rows_now.select("rep", "n", "label").distinct(), sets, percent)
+        new = links.confirm(cut(pairs))
         found = cut(new if found is None else found.unionByName(new))
         labels = cut(connected_components(found))
     if labels is None:
