@@ -31,7 +31,7 @@ PERCENT = 80  # least similarity of a link
 BANDS, ROWS = 59, 7  # a link at 80 % shares no band with a chance of 1e-6; sets at 30 % share one with 1 %
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.06, 4.0, 254  # a register is a byte, and tells sets of up to some 500,000 shingles apart
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 SIZE_STEP = 1.02  # ratio of the size classes of the prefix filter
 #: A pair is given up unchecked when its likelihood at the least similarity is so far below the best (five deviations).
 LIKELIHOOD_GAP = 12.5
