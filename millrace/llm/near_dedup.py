@@ -193,21 +193,6 @@ class _Links:
         return full.where(100 * common >= self.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def _near_labels(links: DataFrame) -> DataFrame:
-    """(node, component) of the links' nodes after a few jumps to the least neighbour.
-
-    Nodes of one label are connected; those of two labels may be, too. That is enough to leave out pairs, and cheaper
-    than components.
-    """
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    labels = least
-    for _ in range(2):
-        jump = least.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = labels.join(jump, "component").select("node", F.col("next").alias("component"))
-    return labels
-
-
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("label", F.col("rep"))
@@ -354,10 +339,10 @@ def _class_components(rows: DataFrame, classes: DataFrame, shingle: int, percent
             pairs = _prefix_pairs(rows_now.select("rep", "n", "label").distinct(), sets, percent)
         new = links.confirm(cut(pairs))
         found = cut(new if found is None else found.unionByName(new))
-        labels = cut(_near_labels(found)) if turn < HUB_ROUNDS else None
-    if found is None:
+        labels = cut(connected_components(found))
+    if labels is None:
         return classes.sparkSession.createDataFrame([], "node long, component long")
-    return cut(connected_components(found))
+    return labels
 
 
 def keep_representatives(
