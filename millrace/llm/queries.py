@@ -115,7 +115,7 @@ def op8(spark, sf_dir):
 
 @_query("op10_sentence_spans")
 def op10(spark, sf_dir):
-    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return drop_repeated_spans(table(spark, sf_dir, "documents"), back=True)
 
 
 @_query(

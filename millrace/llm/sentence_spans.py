@@ -1,8 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-From each sentence on, the shortest run of at least ``MIN_SENTENCES`` sentences with at least ``MIN_WORDS`` words is
-hashed. Runs that occur more than once anywhere are repeated; the first occurrence (smallest id, then position) stays,
-and every sentence that another occurrence covers is removed.
+Sentences are cut further at places that only the words around them decide, so that a passage falls into the same pieces
+wherever it stands. From each piece on (and back from each, where asked) the shortest run of at least ``MIN_SENTENCES``
+pieces with at least ``MIN_WORDS`` words is hashed; both kinds together cover all pieces of a repeated stretch. Runs that
+occur more than once anywhere are repeated; the first occurrence (smallest id, then position) stays, and every piece
+that another occurrence covers is removed. Of a repeated passage, only words at its two edges can stay, up to the
+nearest place where both copies are cut.
 
 The runs of all documents are counted by a 64-bit hash first; only runs whose hash repeats (a broadcast Bloom filter of
 bounded size tells) go on with their 128-bit hash and position, and only texts with something to remove shuffle.
@@ -10,8 +13,8 @@ bounded size tells) go on with their 128-bit hash and position, and only texts w
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +28,81 @@ from millrace.runtime import cut
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
-LONG_SENTENCE = 24  # words; a longer sentence counts as several, cut after so many words each
+REACH = 3  # words looked at on either side of a cut within a sentence
 
-_END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_WORD = re.compile(r"\S+")
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[[i for i in range(0x3001) if chr(i).isspace()]] = True
+_LOWER = np.arange(0x110000, dtype=np.uint64)
+_LOWER[:0x1F000] = [ord(chr(i).lower()[0]) for i in range(0x1F000)]
+_LOWER[ord("ς")] = ord("σ")  # what a capital sigma becomes depends on its place
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the sentences: text up to ``.``, ``!`` or ``?`` before a blank, or up to a line's end."""
-    out, at = [], 0
-    for m in [*_END.finditer(text), None]:
-        end = m.start() if m else len(text)
-        part = text[at:end]
-        n = len(part.split())
-        if n > LONG_SENTENCE:
-            words = [w.span() for w in _WORD.finditer(text, at, end)]
-            for i in range(0, n, LONG_SENTENCE):
-                own = words[i : i + LONG_SENTENCE]
-                out.append((own[0][0], own[-1][1], len(own)))
-        elif n:
-            out.append((at, end, n))
-        at = m.end() if m else end
-    return out
-
-
-def runs(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 128-bit hash) of the run that begins at each sentence, as far as the text reaches."""
+    """(start, end, words) of the sentences: text up to ``.``, ``!`` or ``?`` before a blank, or up to a line's end.
+
+    A sentence is also cut after a word whose hash (with the next word's) is the least of all within ``REACH`` words,
+    unless it begins or ends within these. Nothing farther off counts, neither the sentence's length nor its start.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _BLANK[code]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    if not n:
+        return []
+    stop = np.isin(code[ends - 1], (33, 46, 63))
+    after = np.searchsorted(starts, np.flatnonzero(code == 10))  # words before a line feed
+    stop[after[after > 0] - 1] = True
+    stop[-1] = True
+    if n > 2 * REACH:
+        place = np.arange(starts[0], len(code)) - np.repeat(starts, np.diff(starts, append=len(code)))
+        signs = _mixed(_LOWER[code[starts[0] :]] + place.astype(np.uint64) * _MIX[0])
+        signs[blank[starts[0] :]] = 0
+        word = _mixed(np.add.reduceat(signs, starts - starts[0]))
+        rank = np.zeros(n + 2 * REACH, np.uint64)  # before and after the text as at a sentence's end
+        rank[REACH:-REACH] = np.where(stop, np.uint64(0), _mixed(word * _MIX[0] + np.roll(word, -1)) | np.uint64(1))
+        stop |= np.lib.stride_tricks.sliding_window_view(rank, 2 * REACH + 1).min(axis=1) == rank[REACH:-REACH]
+    last = np.flatnonzero(stop)
+    first = np.r_[0, last[:-1] + 1]
+    begin = starts[first]
+    begin[0] = 0
+    return list(zip(begin.tolist(), ends[last].tolist(), (last - first + 1).tolist(), strict=True))
+
+
+def runs(text: str, found: list[tuple[int, int, int]], back: bool = False) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentences, 128-bit hash) of the shortest run on from each sentence, and ``back`` from each."""
     plain = [" ".join(text[a:b].lower().split()) for a, b, _ in found]
-    out, stop, words = [], 0, 0
+    spans, stop, words = [], 0, 0
     for i in range(len(found)):
         while stop < len(found) and (stop - i < MIN_SENTENCES or words < MIN_WORDS):
             words += found[stop][2]
             stop += 1
         if stop - i < MIN_SENTENCES or words < MIN_WORDS:
             break
-        out.append((i, stop - i, xxhash.xxh3_128_digest("\n".join(plain[i:stop]))))
+        spans.append((i, stop))
         words -= found[i][2]
-    return out
-
-
-def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begun, i, words = len(spans), 0, 0
+    for stop in range(1, len(found) + 1 if back else 1):
+        words += found[stop - 1][2]
+        while stop - i > MIN_SENTENCES and words - found[i][2] >= MIN_WORDS:
+            words -= found[i][2]
+            i += 1
+        if stop - i >= MIN_SENTENCES and words >= MIN_WORDS and not (i < begun and spans[i][1] == stop):
+            spans.append((i, stop))
+    return [(i, stop - i, xxhash.xxh3_128_digest("\n".join(plain[i:stop]))) for i, stop in spans]
+
+
+def _hash_runs(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, 2):
-            found = [runs(x, sentences(x)) for x in (t or "" for t in piece.column(2).to_pylist())]
+            found = [runs(x, sentences(x), back) for x in (t or "" for t in piece.column(2).to_pylist())]
             sizes = [len(x) for x in found]
             flat = [r for x in found for r in x]
             hashes = np.frombuffer(b"".join(r[2] for r in flat), np.int64).reshape(-1, 2)
@@ -112,9 +147,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """doc_id, text without repeated sentence spans, n_removed (sentences) and removed_chars: one row a row.
 
+    Without ``back``, only the shortest run on from each sentence counts, so that the last sentences of a repeated
+    passage stay where they are too short for a run of their own; with it, the shortest run back from each does too.
     Sentences are compared in lower case with single blanks. A null text counts as empty; rows that agree in id and text
     count as one document, whose rows stay alike; null ids come first. Other columns are ignored, whatever their names.
     """
@@ -125,7 +162,7 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     schema = f"doc_id {kind}, text_hash long, first int, size int, h1 long, h2 long"
-    spans = rows.mapInArrow(_hash_runs, schema)
+    spans = rows.mapInArrow(partial(_hash_runs, back=back), schema)
     twice = cut(spans.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     bits = filter_bits(twice.count())
     bitmaps = cut(membership_filter(twice, "h1", bits))

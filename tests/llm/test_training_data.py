@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import string
 from collections import Counter, defaultdict
@@ -427,6 +428,27 @@ def test_passages_stay_once(edge, empty):
     assert sentence_spans.drop_repeated_spans(empty).count() == 0
 
 
+def test_passages_go_wherever_they_stand(spark):
+    r = random.Random(7)
+    words = lambda n, ends: [f"w{r.randrange(5000)}" + "." * (r.random() < ends) for _ in range(n)]
+    passages = [words(51, ends) for ends in (0, 0.05, 0.1, 0.2) for _ in range(25)]
+    data = []
+    for copy in range(2):
+        for i, p in enumerate(passages):
+            text = " ".join(words(r.randrange(1, 60), 0.05) + p + words(r.randrange(1, 60), 0.05))
+            data.append((1000 * copy + i, text, "en", "web"))
+    got = by_id(sentence_spans.drop_repeated_spans(rows(spark, data), back=True))
+    for i, p in enumerate(passages):
+        assert got[i].n_removed == 0
+        assert len(got[1000 + i].text.split()) <= len(data[len(passages) + i][1].split()) - 26, " ".join(p)
+
+
+def test_a_passage_goes_to_its_last_sentence(spark):
+    passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. Fifteen sixteen. Seventeen."
+    data = [(1, f"First words here. {passage} Something else follows on.", "en", "web"), (2, f"Other start. {passage} Its own end.", "en", "web")]
+    assert by_id(sentence_spans.drop_repeated_spans(rows(spark, data), back=True))[2].text == "Other start. Its own end."
+
+
 # Pipeline ------------------------------------------------------------------------------------------------------
 
 
