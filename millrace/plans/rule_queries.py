@@ -105,8 +105,8 @@ def list_memberships(spark, sf_dir):
 _EDGES = "WITH RECURSIVE d AS (SELECT DISTINCT p_size AS a, ((p_partkey * 7) % 50 + 1)::INT AS b, (p_partkey % 20 + 1)::BIGINT AS cost FROM part WHERE p_partkey % 9 = 0)"
 
 
-def _edges(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_partkey % 9 = 0")
+def _edges(spark, sf_dir, share: str = "p_partkey % 9 = 0"):
+    parts = table(spark, sf_dir, "part").where(share)
     return parts.select(F.col("p_size").alias("a"), ((F.col("p_partkey") * 7) % 50 + 1).cast("int").alias("b"), (F.col("p_partkey") % 20 + 1).alias("cost"))
 
 
@@ -125,6 +125,18 @@ def route_costs(spark, sf_dir):
     return R.least_costs(_edges(spark, sf_dir), starts)
 
 
+@query("reachable_nodes_whole")  # of all parts, without SQL
+def reachable_nodes_whole(spark, sf_dir):
+    starts = spark.range(1, 6).select(F.col("id").cast("int").alias("start"))
+    return R.reachable(_edges(spark, sf_dir, "true"), starts)
+
+
+@query("route_costs_whole")
+def route_costs_whole(spark, sf_dir):
+    starts = spark.range(1, 6).select(F.col("id").cast("int").alias("start"))
+    return R.least_costs(_edges(spark, sf_dir, "true"), starts)
+
+
 @query(
     "unit_conversion_maxima",
     """WITH u(unit, num, den) AS (VALUES (0, 1, 1), (1, 254, 100), (2, 3048, 1000)), q AS (SELECT p_brand, p_partkey, p_size * num * 1000 // den AS v FROM part JOIN u ON unit = p_partkey % 3)
@@ -139,10 +151,19 @@ def unit_maxima(spark, sf_dir):
 
 @query("supplier_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE ('0x' || substr(sha256(l_suppkey || ':' || l_partkey), 1, 8))::UBIGINT % 40 = 0), g AS (SELECT a.s AS a, b.s AS b FROM e a JOIN e b USING (p) GROUP BY ALL), r AS (SELECT DISTINCT s AS a, s AS b FROM e UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1")
 def supplier_components(spark, sf_dir):
+    share = F.conv(F.substring(F.sha2(F.concat_ws(":", "l_suppkey", "l_partkey"), 256), 1, 8), 16, 10).cast("long") % 40
+    return _supplier_components(table(spark, sf_dir, "lineitem").where(share == 0))
+
+
+@query("supplier_components_whole")  # of all lines, without SQL
+def supplier_components_whole(spark, sf_dir):
+    return _supplier_components(table(spark, sf_dir, "lineitem"))
+
+
+def _supplier_components(lines):
     from millrace.operators.components import connected_components
 
-    share = F.conv(F.substring(F.sha2(F.concat_ws(":", "l_suppkey", "l_partkey"), 256), 1, 8), 16, 10).cast("long") % 40
-    pairs = table(spark, sf_dir, "lineitem").where(share == 0).select("l_suppkey", "l_partkey").distinct()
+    pairs = lines.select("l_suppkey", "l_partkey").distinct()
     # A bipartite graph: suppliers below zero, so that the least node of a component is a supplier.
     edges = pairs.select((F.col("l_suppkey") - 1_000_000_000).alias("a"), F.col("l_partkey").alias("b"))
     found = connected_components(edges).where("node < 0")

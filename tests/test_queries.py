@@ -38,6 +38,36 @@ def test_equals_sql(spark, duck, name):
     assert canonical(got.columns, [tuple(r) for r in got.collect()]) == canonical(columns, wanted.fetchall())
 
 
+def test_whole_graphs_against_brute_force(spark, duck):
+    edges, nodes = {}, range(1, 6)
+    for k, a in duck.execute("SELECT p_partkey, p_size FROM part").fetchall():
+        pair = a, k * 7 % 50 + 1
+        edges[pair] = min(edges.get(pair, 99), k % 20 + 1)
+    want = {}
+    for start in nodes:
+        cost, changed = {start: 0}, True
+        while changed:
+            offers = [(b, cost[a] + c) for (a, b), c in edges.items() if a in cost]
+            changed = [(b, c) for b, c in offers if c < cost.get(b, math.inf)]
+            for b, c in changed:
+                cost[b] = min(c, cost.get(b, math.inf))
+        want |= {(start, b): c for b, c in cost.items()}
+    assert {(r.start, r.node): r.cost for r in registry.QUERIES["route_costs_whole"](spark, SF).collect()} == want
+    assert {(r.start, r.node) for r in registry.QUERIES["reachable_nodes_whole"](spark, SF).collect()} == set(want)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for s, p in duck.execute("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall():
+        low, high = sorted((find((0, s)), find((1, p))))
+        root[high] = low
+    got = {r.node: r.component for r in registry.QUERIES["supplier_components_whole"](spark, SF).collect()}
+    assert got == {x[1]: find(x)[1] for x in list(root) if x[0] == 0}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
