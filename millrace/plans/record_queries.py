@@ -23,6 +23,12 @@ def command_templates(spark, sf_dir):
     return rows.groupBy("t").agg(F.count("*").alias("n"))
 
 
+@query("command_templates_whole", r"SELECT regexp_replace(text, '\d+(\.\d+)?', 'N', 'g') AS t, count(*) AS n FROM (SELECT replace(replace(text, chr(39), ''), '\"', '') AS text FROM conversations) GROUP BY 1")
+def command_templates_whole(spark, sf_dir):
+    plain = F.replace(F.replace(F.col("text"), F.lit("'"), F.lit("")), F.lit('"'), F.lit(""))
+    return table(spark, sf_dir, "conversations").select(R.command_template(plain).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+
 @query(
     "option_menus",
     "WITH m AS (SELECT l_orderkey, list_distinct(list(l_shipmode)) AS o FROM (SELECT l_orderkey, l_partkey::VARCHAR AS l_shipmode FROM lineitem) GROUP BY 1) SELECT l_orderkey, array_to_string(list_transform(list_sort(list_transform(o, lambda x: sha256('m:' || x) || x)), lambda x: x[65:]), ',') AS menu FROM m WHERE len(o) BETWEEN 2 AND 36",
@@ -45,6 +51,14 @@ def distribution_scores(spark, sf_dir):
     return ok.select("vec_id", F.round(R.entropy(F.col("p")), 6).alias("entropy"), F.round(R.total_variation(F.col("p"), uniform), 6).alias("from_uniform"))
 
 
+@query("distribution_scores_whole", _SOFT.replace("embedding[1:4]", "embedding") + " SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, round(list_sum(list_transform(p, lambda x: abs(x - 1.0::DOUBLE / len(p)))) / 2, 6) AS from_uniform FROM p")
+def distribution_scores_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("e"))
+    p = e.select("vec_id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    ok = p.where(R.valid_distribution(F.col("p"))).withColumn("uniform", F.transform("p", lambda x: F.lit(1.0) / F.size("p")))
+    return ok.select("vec_id", F.round(R.entropy(F.col("p")), 6).alias("entropy"), F.round(R.total_variation(F.col("p"), F.col("uniform")), 6).alias("from_uniform"))
+
+
 @query("expected_brier", "SELECT vec_id, round(p * pow(1 - f, 2) + (1 - p) * pow(f, 2), 6) AS score FROM (SELECT vec_id, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS p, 1 / (1 + exp(-embedding[2]::DOUBLE)) AS f FROM embeddings)")
 def expected_brier(spark, sf_dir):
     logistic = lambda i: 1 / (1 + F.exp(-F.get("embedding", F.lit(i)).cast("double")))

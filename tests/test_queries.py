@@ -68,6 +68,17 @@ def test_whole_graphs_against_brute_force(spark, duck):
     assert got == {x[1]: find(x)[1] for x in list(root) if x[0] == 0}
 
 
+def test_texts_and_vectors_are_read_whole(spark, tmp_path):
+    same = "run the job with forty equal characters in front of "
+    spark.createDataFrame([(f"{same}a 1",), (f"{same}b 2",), (f"{same}b 37",), (None,)], "text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.t: r.n for r in registry.QUERIES["command_templates_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"{same}a N": 1, f"{same}b N": 2, None: 1}
+    spark.createDataFrame([(1, [0.0] * 8), (2, [0.0] * 7 + [math.log(9)])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: (r.entropy, r.from_uniform) for r in registry.QUERIES["distribution_scores_whole"](spark, str(tmp_path)).collect()}
+    assert got[1] == pytest.approx((math.log(8), 0), abs=1e-6)
+    assert got[2] == pytest.approx((7 / 16 * math.log(16) - 9 / 16 * math.log(9 / 16), 7 / 16), abs=1e-6)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
