@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,31 +48,76 @@ def ledger(events: DataFrame, by: str, order: list[str], action: str, quantity:
     ``receive`` adds stock; ``ship`` and ``reserve`` need as much available (stock less reserved), ``release`` as much
     reserved; what is impossible is rejected whole. Other actions change nothing.
     """
-    item = F.struct(*[F.col(c) for c in order], F.col(action).alias("a"), F.col(quantity).cast("long").alias("q"))
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    zero = lambda n, v=0: F.lit(v).cast("long").alias(n)
-    start = F.struct(zero("stock", initial), zero("reserved"), zero("rejected"))
-
-    def step(s: Column, e: Column) -> Column:
-        free = s["stock"] - s["reserved"]
-        fits = F.when(e["a"].isin("ship", "reserve"), e["q"] <= free).when(e["a"] == "release", e["q"] <= s["reserved"]).otherwise(True)
-        change = lambda name, sign: F.when(fits & (e["a"] == name), sign * e["q"]).otherwise(0)
-        return F.struct(
-            (s["stock"] + change("receive", 1) + change("ship", -1)).alias("stock"),
-            (s["reserved"] + change("reserve", 1) + change("release", -1)).alias("reserved"),
-            (s["rejected"] + F.when(fits, 0).otherwise(1)).alias("rejected"),
-        )
-
-    state = rows.select(by, F.aggregate("x", start, step).alias("s"))
-    return state.select(by, "s.stock", "s.reserved", (F.col("s.stock") - F.col("s.reserved")).alias("available"), "s.rejected")
+    item = [F.col(action).alias("a"), F.col(quantity).cast("long").alias("q")]
+    rows = events.select(F.col(by).alias("k"), *item, *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    places = [f"o{i}" for i in range(len(order))]
+    rows = rows.repartition("k").sortWithinPartitions("k", *places, "a", "q").select("k", "a", "q")
+
+    def step(s: tuple, e: tuple) -> tuple:
+        stock, reserved, rejected = s
+        a, q = e
+        free = None if stock is None else stock - reserved
+        if a in ("ship", "reserve") and (q is None or free is None or q > free) or a == "release" and (q is None or q > reserved):
+            return stock, reserved, rejected + 1
+        if a == "receive":
+            stock = None if stock is None or q is None else stock + q
+        elif a == "ship":
+            stock -= q
+        elif a in ("reserve", "release"):
+            reserved += q if a == "reserve" else -q
+        return stock, reserved, rejected
+
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, stock long, reserved long, rejected long"
+    state = rows.mapInArrow(_folded((initial, 0, 0), step, ["stock", "reserved", "rejected"], [pa.int64()] * 3), schema)
+    return state.select(F.col("k").alias(by), "stock", "reserved", (F.col("stock") - F.col("reserved")).alias("available"), "rejected")
+
+
+def _folded(start: tuple, step: Callable, names: list[str], types: list[pa.DataType]) -> Callable:
+    """Folds rows (k, ...) that come sorted by k: one row a run of equal k, in the memory of one state and one batch."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, kind = None, None, None
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            keys, *items = (c.to_pylist() for c in batch.columns)
+            for k, *e in zip(keys, *items, strict=True):
+                if state is None or k != key:
+                    if state is not None:
+                        done.append((key, *state))
+                    key, state = k, start
+                state = step(state, tuple(e))
+            yield _rows(done, kind)
+        if state is not None:
+            yield _rows([(key, *state)], kind)
+
+    def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = [[r[i] for r in done] for i in range(len(names) + 1)]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [kind, *types], strict=True)], ["k", *names])
+
+    return fold
 
 
 def state_machine(events: DataFrame, by: str, order: list[str], event: str, initial: str, transitions: dict[tuple[str, str], str]) -> DataFrame:
     """(by, state) after the events in order; events without a transition from the current state are ignored."""
-    table = F.create_map(*[F.lit(x) for (a, e), b in transitions.items() for x in (f"{a}\n{e}", b)])
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("e")))).alias("x"))
-    move = lambda s, x: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("\n"), x["e"])), s)
-    return rows.select(by, F.aggregate("x", F.lit(initial), move).alias("state"))
+    names = sorted({initial, *(a for a, _ in transitions), *transitions.values()})
+    at = {x: i for i, x in enumerate(names)}
+    same = tuple(range(len(names)))
+    moves = {e: tuple(at[transitions.get((x, e), x)] for x in names) for _, e in transitions}
+    rows = events.select(F.col(by).alias("k"), F.col(event).cast("string").alias("e"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    sort = ["k", *[f"o{i}" for i in range(len(order))], "e"]
+    # Blocks of the order: one key's events meet in many tasks, each of which gives where every state leads.
+    blocks = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select("k", "e")
+    fold = _folded((same,), lambda s, x: (tuple(moves[x[0]][i] for i in s[0]),) if x[0] in moves else s, ["to"], [pa.list_(pa.int32())])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId()
+        for x in fold(batches):
+            yield x.append_column("block", pa.array([block] * x.num_rows, pa.int32()))
+
+    maps = blocks.mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, to array<int>, block int")
+    lists = maps.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "to"))).alias("x"))  # one map a block
+    last = F.aggregate("x", F.lit(at[initial]), lambda s, x: F.get(x["to"], s))
+    return lists.select(F.col("k").alias(by), F.get(F.array(*map(F.lit, names)), last).alias("state"))
 
 
 def first_matching_rule(rows: DataFrame, key: str, rules: DataFrame, condition: Column, default: str) -> DataFrame:

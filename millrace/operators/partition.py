@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +39,28 @@ def reserve_by_priority(rows: DataFrame, component: str, split: str, order: list
 def group_quota(groups: DataFrame, task: str, group: str, size: str, cap: int) -> DataFrame:
     """Whole groups per task in hash order, each taken when it still fits under ``cap``; later ones may fit after a skip.
 
-    ``groups`` has one row a group. The fold needs a task's groups in order, one small struct each; skipping makes it no
-    running sum. Columns: task, group, size, taken.
+    ``groups`` has one row a group. The fold needs a task's groups in order; skipping makes it no
+    running sum: it streams through them in one task, holding one batch. Columns: task, group, size, taken.
     """
-    item = F.struct(F.sha2(F.col(group).cast("string"), 256).alias("h"), F.col(group).alias("g"), F.col(size).cast("long").alias("n"))
-    ordered = groups.groupBy(task).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-    fold = F.aggregate(
-        "all",
-        start,
-        lambda a, x: F.struct(
-            F.when(a["used"] + x["n"] <= cap, a["used"] + x["n"]).otherwise(a["used"]).alias("used"),
-            F.array_append(a["taken"], a["used"] + x["n"] <= cap).alias("taken"),
-        ),
+    rows = groups.select(
+        F.col(task).alias("k"), F.sha2(F.col(group).cast("string"), 256).alias("h"), F.col(group).alias("g"), F.col(size).cast("long").alias("n")
     )
-    both = ordered.select(task, F.explode(F.arrays_zip(F.col("all"), fold["taken"].alias("taken"))).alias("x"))
-    return both.select(task, F.col("x.all.g").alias(group), F.col("x.all.n").alias(size), F.col("x.taken").alias("taken"))
+    rows = rows.repartition("k").sortWithinPartitions("k", "h", "g", "n").select("k", "g", "n")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, key, used = False, None, 0
+        for batch in batches:
+            taken = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not seen or k != key:
+                    seen, key, used = True, k, 0
+                taken.append(None if n is None else used + n <= cap)
+                used += n if taken[-1] else 0
+            yield batch.append_column("taken", pa.array(taken, pa.bool_()))
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    both = rows.mapInArrow(fold, f"{kinds}, taken boolean")
+    return both.select(F.col("k").alias(task), F.col("g").alias(group), F.col("n").alias(size), "taken")
 
 
 def capped_by_hash(rows: DataFrame, key: str, by: list[str], cap: int, seed: str) -> DataFrame:

@@ -87,6 +87,18 @@ def test_group_quota_goes_on_after_a_skip(spark):
     assert got == want
 
 
+def test_quotas_stream_through_groups(spark):
+    r = random.Random(4)
+    groups = [(r.choice(["s", "t", None]), str(i), r.randrange(1, 9)) for i in range(500)]
+    got = partition.group_quota(spark.createDataFrame(groups, "task string, g string, n long"), "task", "g", "n", 100)
+    used, want = {}, {}
+    for t, g, n in sorted(groups, key=lambda x: hashlib.sha256(x[1].encode()).hexdigest()):
+        want[g] = used.get(t, 0) + n <= 100
+        used[t] = used.get(t, 0) + n * want[g]
+    assert {x.g: x.taken for x in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_conflicts_drop_whole_groups(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 3, "x"), ("b", 4, "y")], "k string, id long, target string")
     assert [(r.id, r.copies) for r in partition.resolve_conflicts(rows, ["k"], "target", "id").collect()] == [(1, 2)]
@@ -98,6 +110,29 @@ def test_ledger_rejects_whole_operations(spark):
     assert (got.stock, got.reserved, got.available, got.rejected) == (3, 3, 0, 2)
 
 
+def test_one_users_events_never_meet_in_one_array(spark):
+    r = random.Random(3)
+    users = [None, 7, *[1] * 8]
+    events = [(r.choice(users), i, r.choice(["receive", "ship", "reserve", "release", "none"]), r.randrange(9)) for i in range(4000)]
+    frame = spark.createDataFrame(r.sample(events, len(events)), "k int, i int, a string, q long")
+    moves = {("s", "receive"): "t", ("t", "ship"): "u", ("u", "none"): "s", ("t", "none"): "s", ("u", "reserve"): "t"}
+    want, states = {}, {}
+    for k, _, a, q in events:
+        stock, held, bad = want.get(k, (5, 0, 0))
+        fits = q <= stock - held if a in ("ship", "reserve") else q <= held if a == "release" else True
+        stock += fits * q * ((a == "receive") - (a == "ship"))
+        held += fits * q * ((a == "reserve") - (a == "release"))
+        want[k] = stock, held, bad + (not fits)
+        states[k] = moves.get((states.get(k, "s"), a), states.get(k, "s"))
+    got = ordered.ledger(frame, "k", ["i"], "a", "q", 5)
+    assert {x.k: (x.stock, x.reserved, x.rejected) for x in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    machine = ordered.state_machine(frame, "k", ["i"], "a", "s", moves)
+    assert {x.k: x.state for x in machine.collect()} == states
+    assert "RepartitionByExpression [k#" in machine._jdf.queryExecution().toString()
+    assert ordered.ledger(frame.limit(0), "k", ["i"], "a", "q").count() == ordered.state_machine(frame.limit(0), "k", ["i"], "a", "s", moves).count() == 0
+
+
 def test_advantages(spark):
     steps = [(1, i, r, v) for i, (r, v) in enumerate([(1.0, 0.5), (0.0, 0.2), (2.0, 1.0)])]
     got = {r.i: r.advantage for r in ordered.discounted_advantages(spark.createDataFrame(steps, "k int, i int, r double, v double"), "k", "i", "r", "v", 0.9, 0.8).collect()}
