@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.runtime import cut
 
+STATE_ROWS = 100_000  # edges that a partition of the state holds about
+
 
 def _directed(edges: DataFrame) -> DataFrame:
     pairs = edges.where("a <> b")
@@ -31,11 +33,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the (a, b) edges; the component is its least node.
 
     Rounds are logarithmic in the size of the largest component. Each groups by node with map-side combining and joins
-    the result back, so the largest hub costs one split join; the state is checkpointed every round. Self-loops and rows
-    with nulls are ignored.
+    the result back, so the largest hub costs one split join; the state is checkpointed every round, in partitions in
+    proportion to it. Self-loops and rows with nulls are ignored, repeated edges count once, no edges give no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    state, before = cut(_star(_directed(edges), small=False)), None
+    state, before = cut(_star(_directed(edges), small=False), STATE_ROWS), None
     for _ in range(100):
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
@@ -43,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = mark
         # small stars see each pair from its larger end; large stars from both
         smaller = _star(_directed(state), small=True)
-        state = cut(_star(_directed(smaller), small=False))
+        state = cut(_star(_directed(smaller), small=False), STATE_ROWS)
     roots = state.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     own = state.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return roots.unionByName(own.join(roots.select("node"), "node", "left_anti"))

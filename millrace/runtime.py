@@ -27,7 +27,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage (reliable, not executor-local)."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage (reliable, not executor-local).
+
+    With ``rows``, partitions are read together until they hold about so many rows each: what an input of many
+    partitions has been reduced to does not travel on as crumbs, each with files of its own in every later shuffle.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    return kept if rows is None else kept.coalesce(max(1, -(-kept.count() // rows)))
