@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import pieces
 from millrace.llm.lexicon import Lexicon, compile_lexicon
+from millrace.runtime import cut
 
 LEXICON_WORDS = 32768  # words in the lexicon; bounds what the driver collects and each executor maps
-MEMO_WORDS = 400_000  # words, and as many units of text, that a task remembers
+COUNT_STEP = 1 / 24  # of the logarithm of a word's count: the classes among which the lexicon's last one is found
+MEMO_WORDS = 400_000  # words, and as many units of text, that a task remembers until it ends
 COUNTED_WORDS = 300_000  # distinct words a task holds before it hands their counts on
 
 # The split pattern of byte-level BPE vocabularies, with Unicode's white space spelled out.
@@ -70,7 +72,7 @@ class Codec:
             self.token_bytes[i] = token.encode()
         self.decimal = [str(i) for i in range(size)]
         self._split = regex.compile(SPLIT)
-        self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._lexicon = lexicon
         never = len(self.made)
         pairs = np.array([left << 32 | right for left, right in self.ranks] + [2**62], np.int64)
@@ -266,11 +268,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The ``words`` most frequent runs of letters in all documents (ties by the word); a bounded list."""
+    """At most ``words`` of the most frequent runs of letters in all documents, of those that occur more than once.
+
+    A histogram of the counts (some hundred rows at most) tells from which class of counts on the words are few enough;
+    only those are collected. A class that does not fit whole stays out, so ties need no order.
+    """
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count_words, "word string, n long")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n")).where("word != ''")
-    top = total.orderBy(F.desc("n"), "word").limit(words)
-    return [r.word for r in top.collect()]
+    total = counted.groupBy("word").agg(F.sum("n").alias("n")).where("word != '' and n > 1")
+    total = cut(total.select("word", F.floor(F.log("n") / COUNT_STEP).cast("int").alias("class")))
+    lowest, held = None, 0
+    for r in sorted(total.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        held += r["count"]
+        if held > words:
+            break
+        lowest = r["class"]
+    if lowest is None:
+        return []
+    return sorted(r.word for r in total.where(F.col("class") >= lowest).select("word").collect())
 
 
 def compile_words(vocabulary: str, words: list[str]) -> bytes:
@@ -280,15 +294,9 @@ def compile_words(vocabulary: str, words: list[str]) -> bytes:
     return compile_lexicon((w.encode(), ids.tolist()) for w, ids in zip(spaced, codec.encode_many(spaced), strict=True))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(vocabulary: str, lexicon_file: str) -> Codec:
-    key = lexicon_file + hashlib.sha256(vocabulary.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary, Lexicon.open(SparkFiles.get(lexicon_file)))
-    return _CODECS[key]
+    """A codec for one task. Workers outlive their tasks, so nothing keeps it (and what it remembers) beyond that."""
+    return Codec(vocabulary, Lexicon.open(SparkFiles.get(lexicon_file)))
 
 
 def _share(docs: DataFrame, text: str, tokenizer_path: str, lexicon_words: int):

@@ -2,12 +2,12 @@
 
 One pass over the texts gives each document the hash of its shingle set and a sketch: for every register, the least of
 the set's exponential variates, truncated to a power of a base close to 1. Equal sets collapse to a class. Classes that
-agree in a band of registers share a bucket. Buckets are not expanded into pairs: in each round the member that shares
-most buckets is compared with the others of its bucket that it is not yet connected with; it then leaves the bucket,
-and buckets whose members are all connected are done. For the members of buckets still open after ``HUB_ROUNDS`` rounds,
-an exact prefix filter takes over: linked sets must share one of their rarest shingles, so candidates follow the shingles
-that tell the members apart rather than the pairs of a bucket. A pair is first judged by the likelihood of its registers,
-then confirmed on the full sets.
+agree in a band of registers share a bucket. Buckets are not expanded into pairs: first the member that shares most
+buckets is compared with the others of its bucket, in order of their likelihood: pairs that the joint likelihood of
+their registers makes likely are confirmed on the full sets, and linked classes get one label. For the members of
+buckets in which labels still differ, the pairs thought unlikely included, an exact prefix filter takes over: linked
+sets must share one of their rarest shingles, so candidates follow the shingles that tell the members apart rather than
+the pairs of a bucket. All of these are confirmed on the full sets: the likelihood orders the work and rejects nothing.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.06, 4.0, 254  # a register is a byte, and tells sets of up to some 500,000 shingles apart
 HUB_ROUNDS = 1
 SIZE_STEP = 1.02  # ratio of the size classes of the prefix filter
-#: A pair is given up unchecked when its likelihood at the least similarity is so far below the best (five deviations).
+#: A pair waits for the prefix filter when its likelihood at the least similarity is so far below the best.
 LIKELIHOOD_GAP = 12.5
+CLASS_ROWS, SET_ROWS, NARROW_ROWS = 16_384, 2_048, 100_000  # rows a partition of what is kept between steps
 _COLUMNS = 512
 
 _RNG = np.random.default_rng(20)
@@ -149,10 +150,11 @@ def _sets(size: int):
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, REGISTERS)
             yield pa.record_batch(
                 {
                     "rep": np.repeat(batch.column(0).to_numpy(), BANDS),
+                    "n": np.repeat(batch.column(1).to_numpy(), BANDS),
                     "bucket": bands(registers).ravel(),
                 }
             )
@@ -172,21 +174,24 @@ def _judged(percent: int):
 
 
 class _Links:
-    """Confirms candidate pairs of class representatives."""
+    """Confirms candidate pairs of class representatives on their full sets."""
 
     def __init__(self, classes: DataFrame, sets: DataFrame, percent: int):
         self.classes, self.sets, self.percent = classes, sets, percent
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The links (a, b) among distinct pairs (a, b, n_a, n_b), a < b."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, n_a, n_b) whose registers make the similarity likely."""
         registers = self.classes.select("rep", "registers")
-        judged = (
+        return (
             pairs.join(registers.select(F.col("rep").alias("a"), F.col("registers").alias("r_a")), "a")
             .join(registers.select(F.col("rep").alias("b"), F.col("registers").alias("r_b")), "b")
             .select("a", "b", "n_a", "n_b", "r_a", "r_b")
             .mapInArrow(_judged(self.percent), "a long, b long, n_a long, n_b long")
         )
-        full = judged.join(self.sets.select(F.col("doc_id").alias("a"), F.col("items").alias("s_a")), "a").join(
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The links (a, b) among distinct pairs (a, b, n_a, n_b), a < b."""
+        full = pairs.join(self.sets.select(F.col("doc_id").alias("a"), F.col("items").alias("s_a")), "a").join(
             self.sets.select(F.col("doc_id").alias("b"), F.col("items").alias("s_b")), "b"
         )
         common = F.size(F.array_intersect("s_a", "s_b"))
@@ -237,7 +242,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     ranked = tokens.join(common, "token", "left").groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "token"))).alias("items")
     )  # the set of one document
-    ranked = cut(ranked.join(members, "rep"))
+    ranked = cut(ranked.join(members, "rep"), SET_ROWS)
     n = F.col("n").cast("int")
     row = ["rep", "n", "label", F.col("t.holders").alias("holders"), F.col("t.token").alias("token"), "at"]
     index = ranked.select(
@@ -262,7 +267,8 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     index = index.select("token", "class", *(F.col(x).alias(f"{x}_other") for x in ("n", "label", "at")), F.col("rep").alias("other"))
     counts = index.groupBy("token", "class", "label_other").agg(F.count("*").alias("size"))
     usual = counts.groupBy("token", "class").agg(F.max(F.struct("size", "label_other"))["label_other"].alias("usual"))
-    probe, index = (cut(x.join(usual, ["token", "class"])) for x in (probe, index))
+    usual = cut(usual, NARROW_ROWS)
+    probe, index = (cut(x.join(usual, ["token", "class"]), NARROW_ROWS) for x in (probe, index))
     smaller = (F.col("n_other") < F.col("n")) | ((F.col("n_other") == F.col("n")) & (F.col("other") < F.col("rep")))
     ahead = F.least(F.col("n") - F.col("at"), F.col("n_other") - F.col("at_other"))  # what they may still share
     enough = ahead >= _least_common(F.col("n"), F.col("n_other"), percent)
@@ -288,7 +294,8 @@ def near_duplicates(
     classes = cut(
         some.groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")
-        )
+        ),
+        CLASS_ROWS,
     )
     labels = _class_components(rows, classes, shingle, percent)
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -300,46 +307,37 @@ def near_duplicates(
 
 
 def _class_components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    buckets = classes.select("rep", "registers").mapInArrow(_bucketed, "rep long, bucket long")
+    buckets = classes.select("rep", "n", "registers").mapInArrow(_bucketed, "rep long, n long, bucket long")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    live = cut(buckets.join(shared, "bucket"))
-    score = live.groupBy("rep").agg(F.sum("members").alias("score"))
-    live = cut(live.drop("members").join(score.join(classes.select("rep", "n"), "rep"), "rep"))
-    involved = live.select("rep").distinct()
-    bits = filter_bits(involved.count())
-    bitmaps = cut(membership_filter(involved, "rep", bits))
+    live = cut(buckets.join(shared, "bucket"), NARROW_ROWS)
+    score = cut(live.groupBy("rep").agg(F.sum("members").alias("score")), NARROW_ROWS)
+    live = live.drop("members")
+    bits = filter_bits(score.count())
+    bitmaps = cut(membership_filter(score, "rep", bits), CLASS_ROWS)
     wanted = with_may_repeat(rows, "doc_id", bitmaps, bits, "wanted").where("wanted").drop("wanted")
     # One row an id: of rows that share one, any set of the class will do that its representative has.
-    sets = wanted.mapInArrow(_sets(shingle), "doc_id long, items array<bigint>").join(
-        involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"
-    )
-    sets = cut(sets.dropDuplicates(["doc_id"]))
+    sets = wanted.mapInArrow(_sets(shingle), "doc_id long, items array<bigint>").dropDuplicates(["doc_id"])
+    sets = cut(sets, SET_ROWS)
     links = _Links(classes, sets, percent)
     found, labels = None, None
-    for turn in range(HUB_ROUNDS + 1):  # the last turn is the prefix filter
-        rows_now = _labelled(live, labels)
-        if turn:
-            open_buckets = (
-                rows_now.groupBy("bucket")
-                .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                .where("low <> high")
-                .select("bucket")
-            )
-            rows_now = rows_now.join(open_buckets, "bucket", "left_semi")
-        rows_now = cut(rows_now)
-        if not rows_now.take(1):
-            break
-        if turn < HUB_ROUNDS:
-            hub = rows_now.groupBy("bucket").agg(F.max(F.struct("score", -F.col("rep"), "n", "label")).alias("hub"))
-            hub = hub.select("bucket", (-F.col("hub.col2")).alias("other"), F.col("hub.n").alias("n_other"), F.col("hub.label").alias("label_other"))
-            joined = rows_now.join(hub, "bucket")
-            live = joined.where("rep <> other").select("bucket", "rep", "n", "score")
-            pairs = _pairs(joined, percent)
-        else:
-            pairs = _prefix_pairs(rows_now.select("rep", "n", "label").distinct(), sets, percent)
-        new = links.confirm(cut(pairs))
-        found = cut(new if found is None else found.unionByName(new))
-        labels = cut(connected_components(found))
+    scored = cut(live.join(score, "rep"), NARROW_ROWS) if HUB_ROUNDS else None
+    for _ in range(HUB_ROUNDS):
+        rows_now = _labelled(scored, labels)
+        hub = rows_now.groupBy("bucket").agg(F.max(F.struct("score", -F.col("rep"), "n", "label")).alias("hub"))
+        hub = hub.select("bucket", (-F.col("hub.col2")).alias("other"), F.col("hub.n").alias("n_other"), F.col("hub.label").alias("label_other"))
+        joined = rows_now.join(hub, "bucket")
+        scored = joined.where("rep <> other").select("bucket", "rep", "n", "score")
+        new = links.confirm(links.likely(cut(_pairs(joined, percent), NARROW_ROWS)))
+        found = cut(new if found is None else found.unionByName(new), NARROW_ROWS)
+        labels = cut(connected_components(found), NARROW_ROWS)
+    rows_now = _labelled(live, labels)
+    open_buckets = rows_now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    members = rows_now.join(open_buckets.select("bucket"), "bucket", "left_semi").select("rep", "n", "label").distinct()
+    members = cut(members, NARROW_ROWS)
+    if members.take(1):
+        new = cut(links.confirm(cut(_prefix_pairs(members, sets, percent), NARROW_ROWS)), NARROW_ROWS)
+        if labels is None or new.take(1):
+            labels = cut(connected_components(new if found is None else found.unionByName(new)), NARROW_ROWS)
     if labels is None:
         return classes.sparkSession.createDataFrame([], "node long, component long")
     return labels
@@ -353,7 +351,7 @@ def keep_representatives(
     Only rows whose id may be a dropped one (a broadcast Bloom filter of bounded size tells) shuffle with their texts.
     """
     decided = near_duplicates(docs, doc_id, text, shingle, percent)
-    dropped = cut(decided.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct())
+    dropped = cut(decided.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct(), NARROW_ROWS)
     bits = filter_bits(dropped.count())
     bitmaps = cut(membership_filter(dropped, "__dropped", bits))
     keyed = docs.withColumn("__key", F.col(doc_id).cast("long"))
