@@ -8,7 +8,8 @@ that another occurrence covers is removed. Of a repeated passage, only words at
 nearest place where both copies are cut.
 
 The runs of all documents are counted by a 64-bit hash first; only runs whose hash repeats (a broadcast Bloom filter of
-bounded size tells) go on with their 128-bit hash and position, and only texts with something to remove shuffle.
+bounded size tells) go on with their 128-bit hash and position, and only texts with something to remove shuffle. All
+texts of a batch are parsed and hashed together in numpy: a run's hash is a difference of running polynomial sums.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,105 +44,136 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the sentences: text up to ``.``, ``!`` or ``?`` before a blank, or up to a line's end.
+_POWER = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+_INVERSE = [np.uint64(pow(int(x), -1, 1 << 64)) for x in _POWER]
 
-    A sentence is also cut after a word whose hash (with the next word's) is the least of all within ``REACH`` words,
-    unless it begins or ends within these. Nothing farther off counts, neither the sentence's length nor its start.
+
+class _Pieces:
+    """The pieces of many texts: arrays over all pieces, in the texts' order, and where each text's pieces begin.
+
+    ``start`` and ``end`` are code points of the own text, ``words`` counts; ``total`` and ``sums`` run over all texts.
     """
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = _BLANK[code]
-    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
-    starts, ends = edges[::2], edges[1::2]
-    n = len(starts)
-    if not n:
-        return []
-    stop = np.isin(code[ends - 1], (33, 46, 63))
-    after = np.searchsorted(starts, np.flatnonzero(code == 10))  # words before a line feed
-    stop[after[after > 0] - 1] = True
-    stop[-1] = True
-    if n > 2 * REACH:
+
+    def __init__(self, texts: list[str]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        code = np.frombuffer("".join(f"{x}\n" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = _BLANK[code]
+        edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.cumsum(sizes) - sizes
+        n = len(starts)
+        if not n:
+            self.start = self.end = self.words = np.zeros(0, np.int64)
+            self.total, self.of, self.sums = np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64), []
+            return
+        stop = np.isin(code[ends - 1], (33, 46, 63))
+        after = np.searchsorted(starts, np.flatnonzero(code == 10))  # words before a line feed; one ends each text
+        stop[after[after > 0] - 1] = True
         place = np.arange(starts[0], len(code)) - np.repeat(starts, np.diff(starts, append=len(code)))
         signs = _mixed(_LOWER[code[starts[0] :]] + place.astype(np.uint64) * _MIX[0])
         signs[blank[starts[0] :]] = 0
         word = _mixed(np.add.reduceat(signs, starts - starts[0]))
-        rank = np.zeros(n + 2 * REACH, np.uint64)  # before and after the text as at a sentence's end
+        rank = np.zeros(n + 2 * REACH, np.uint64)  # before and after all texts as at a sentence's end
         rank[REACH:-REACH] = np.where(stop, np.uint64(0), _mixed(word * _MIX[0] + np.roll(word, -1)) | np.uint64(1))
-        stop |= np.lib.stride_tricks.sliding_window_view(rank, 2 * REACH + 1).min(axis=1) == rank[REACH:-REACH]
-    last = np.flatnonzero(stop)
-    first = np.r_[0, last[:-1] + 1]
-    begin = starts[first]
-    begin[0] = 0
-    return list(zip(begin.tolist(), ends[last].tolist(), (last - first + 1).tolist(), strict=True))
-
-
-def runs(text: str, found: list[tuple[int, int, int]], back: bool = False) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 128-bit hash) of the shortest run on from each sentence, and ``back`` from each."""
-    plain = [" ".join(text[a:b].lower().split()) for a, b, _ in found]
-    spans, stop, words = [], 0, 0
-    for i in range(len(found)):
-        while stop < len(found) and (stop - i < MIN_SENTENCES or words < MIN_WORDS):
-            words += found[stop][2]
-            stop += 1
-        if stop - i < MIN_SENTENCES or words < MIN_WORDS:
-            break
-        spans.append((i, stop))
-        words -= found[i][2]
-    begun, i, words = len(spans), 0, 0
-    for stop in range(1, len(found) + 1 if back else 1):
-        words += found[stop - 1][2]
-        while stop - i > MIN_SENTENCES and words - found[i][2] >= MIN_WORDS:
-            words -= found[i][2]
-            i += 1
-        if stop - i >= MIN_SENTENCES and words >= MIN_WORDS and not (i < begun and spans[i][1] == stop):
-            spans.append((i, stop))
-    return [(i, stop - i, xxhash.xxh3_128_digest("\n".join(plain[i:stop]))) for i, stop in spans]
+        low = rank[REACH:-REACH].copy()
+        for i in range(2 * REACH + 1):
+            np.minimum(low, rank[i : i + n], out=low)
+        stop |= low == rank[REACH:-REACH]
+        last = np.flatnonzero(stop)
+        first = np.append(0, last[:-1] + 1)
+        owner = np.searchsorted(offsets, starts[first], "right") - 1
+        self.of = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.start, self.end = starts[first] - offsets[owner], ends[last] - offsets[owner]
+        self.start[self.of[:-1][np.diff(self.of) > 0]] = 0
+        self.words = last - first + 1
+        self.total = np.append(0, np.cumsum(self.words))
+        word[first] = _mixed(word[first] ^ _MIX[1])  # where pieces begin counts
+        self.sums = []
+        for power, inverse in zip(_POWER, _INVERSE, strict=True):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(word * np.multiply.accumulate(np.full(n, power)), out=sums[1:])
+            self.sums.append((sums, np.multiply.accumulate(np.append(np.uint64(1), np.full(n, inverse)))))
+            word = _mixed(word + _MIX[2])
+
+    def hashes(self, first: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of the runs of pieces [first, stop)."""
+        low, high = self.total[first], self.total[stop]
+        return [_mixed((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64)) for sums, back in self.sums]
+
+    def runs(self, back: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first piece, piece after the last) of the shortest run on from each piece, and ``back`` from each."""
+        pieces, counts = np.arange(len(self.words)), np.diff(self.of)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        stop = np.maximum(pieces + MIN_SENTENCES, np.searchsorted(self.total, self.total[:-1] + MIN_WORDS))
+        there = stop <= self.of[owner + 1]
+        if not back:
+            return owner[there], pieces[there], stop[there]
+        ending = pieces + 1
+        begin = np.minimum(ending - MIN_SENTENCES, np.searchsorted(self.total, self.total[1:] - MIN_WORDS, "right") - 1)
+        fits = begin >= self.of[owner]
+        fits[fits] = ~(there[begin[fits]] & (stop[begin[fits]] == ending[fits]))  # a run on from there as well
+        return tuple(np.concatenate([x[there], y[fits]]) for x, y in ((owner, owner), (pieces, begin), (stop, ending)))
+
+
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the sentences: text up to ``.``, ``!`` or ``?`` before a blank, or up to a line's end.
+
+    A sentence is also cut after a word whose hash (with the next word's) is the least of all within ``REACH`` words,
+    unless it begins or ends within these. Nothing farther off counts, neither the sentence's length nor its start.
+    """
+    found = _Pieces([text])
+    return list(zip(found.start.tolist(), found.end.tolist(), found.words.tolist(), strict=True))
 
 
 def _hash_runs(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, 2):
-            found = [runs(x, sentences(x), back) for x in (t or "" for t in piece.column(2).to_pylist())]
-            sizes = [len(x) for x in found]
-            flat = [r for x in found for r in x]
-            hashes = np.frombuffer(b"".join(r[2] for r in flat), np.int64).reshape(-1, 2)
-            owner = pa.array(np.repeat(np.arange(len(found)), sizes))
+            found = _Pieces(piece.column(2).fill_null("").to_pylist())
+            text, first, stop = found.runs(back)
+            if not len(text):
+                continue
+            owner = pa.array(text)
+            h1, h2 = found.hashes(first, stop)
             yield pa.record_batch(
                 {
                     "doc_id": piece.column(0).take(owner),
                     "text_hash": piece.column(1).take(owner),
-                    "first": pa.array([r[0] for r in flat], pa.int32()),
-                    "size": pa.array([r[1] for r in flat], pa.int32()),
-                    "h1": pa.array(np.ascontiguousarray(hashes[:, 0])),
-                    "h2": pa.array(np.ascontiguousarray(hashes[:, 1])),
+                    "first": pa.array((first - found.of[text]).astype(np.int32)),
+                    "size": pa.array((stop - first).astype(np.int32)),
+                    "h1": pa.array(h1.view(np.int64)),
+                    "h2": pa.array(h2.view(np.int64)),
                 }
             )
 
 
+def _without(text: str, start: np.ndarray, covered: list[dict]) -> tuple[str, int]:
+    """The text without the covered pieces, which begin at ``start``, and their number."""
+    gone = np.zeros(len(start) + 2, np.int64)
+    for r in covered:
+        gone[r["first"] + 1] += 1
+        gone[r["first"] + r["size"] + 1] -= 1
+    gone = np.cumsum(gone) > 0  # from the second entry on, whether a piece goes
+    turns = np.flatnonzero(np.diff(gone))
+    edges = np.append(start, len(text))[turns].tolist()
+    kept = [text[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(text)], strict=True)]
+    return "".join(kept), int(gone.sum())
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, 1):
-            texts, removed, chars = [], [], []
-            for text, covered in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
-                found = sentences(text)
-                gone = np.zeros(len(found) + 1, bool)
-                for r in covered:
-                    gone[r["first"] : r["first"] + r["size"]] = True
-                parts, at = [], 0
-                for i, (start, _, _) in enumerate(found):
-                    if gone[i]:
-                        parts.append(text[at:start] if not i or not gone[i - 1] else "")
-                        at = found[i + 1][0] if i + 1 < len(found) else len(text)
-                kept = "".join(parts) + text[at:]
-                texts.append(kept)
-                removed.append(int(gone.sum()))
-                chars.append(len(text) - len(kept))
+            texts, covered = piece.column(1).to_pylist(), piece.column(2).to_pylist()
+            found = _Pieces(texts)
+            left = [
+                _without(x, found.start[found.of[i] : found.of[i + 1]], c) if c else (x, 0)
+                for i, (x, c) in enumerate(zip(texts, covered, strict=True))
+            ]
             yield pa.record_batch(
                 {
                     "doc_id": piece.column(0),
-                    "text": pa.array(texts, pa.string()),
-                    "n_removed": pa.array(removed, pa.int64()),
-                    "removed_chars": pa.array(chars, pa.int64()),
+                    "text": pa.array([x for x, _ in left], pa.string()),
+                    "n_removed": pa.array([n for _, n in left], pa.int64()),
+                    "removed_chars": pa.array([len(t) - len(x) for t, (x, _) in zip(texts, left, strict=True)], pa.int64()),
                 }
             )
 
@@ -152,7 +183,7 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Without ``back``, only the shortest run on from each sentence counts, so that the last sentences of a repeated
     passage stay where they are too short for a run of their own; with it, the shortest run back from each does too.
-    Sentences are compared in lower case with single blanks. A null text counts as empty; rows that agree in id and text
+    Sentences are compared word by word, in lower case (the first character of each code point's lower-case form). A null text counts as empty; rows that agree in id and text
     count as one document, whose rows stay alike; null ids come first. Other columns are ignored, whatever their names.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -169,6 +200,7 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     likely = cut(with_may_repeat(spans, "h1", bitmaps, bits, "likely").where("likely").drop("likely").distinct())
     place = F.struct("doc_id", "text_hash", "first")
     groups = likely.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    groups = cut(groups)  # so that the next join has exchanges of its own, of which Spark splits a common passage's
     later = likely.join(groups, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
     by_doc = cut(
         later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "size")).alias("covered"))
