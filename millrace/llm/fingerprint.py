@@ -3,9 +3,11 @@
 A text is parsed level by level. Runs of one symbol collapse to a symbol of their own; deterministic coin tossing
 (lowest differing bit between neighbours, iterated) reduces the names to a few labels, local maxima of which begin
 the phrases; each phrase is named by a hash of its symbols. A boundary depends on a few neighbours only, so equal
-substrings get equal phrases inside, wherever they start. The signatures of a text are its phrases from a level on that
-depends on its length alone (``FIRST_LEVEL``), counted as often as they stand, and the members of long runs below that
-level; its fingerprint keeps, in each of ``BINS`` classes of signatures, 16 bits of the smallest.
+substrings get equal phrases inside, wherever they start. The signatures of a text are the names of all levels, each
+counted as often as it stands. Its fingerprint keeps, in each of ``BINS`` classes of signatures, 16 bits of the smallest:
+some classes for the characters, some for the phrases of about three, most for those of nine and more. Classes of the
+higher levels weigh more in a likeness. A short text has few of these, so its lower levels count for more: nothing else
+depends on the length.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import pieces
 
-FIRST_LEVEL = ((100, 2), (24, 1), (0, 0))  # from so many characters on: the level (phrases of about 9, 3, 1 characters)
-LONG_RUN = 4
-BINS = 64
+#: Classes and weight of a class: for level 0 (characters), level 1, and all levels from 2 on.
+TIERS = ((8, 1), (8, 2), (48, 4))
+BINS = sum(n for n, _ in TIERS)
+WEIGHTS = np.repeat([w for _, w in TIERS], [n for n, _ in TIERS])
 PIECE = 1 << 18  # bytes of text parsed at once, so that the arrays stay in the processor's cache
 NO_NAME = 0xFFFF  # the digits of a class without names
 
@@ -41,19 +44,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _collapse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every maximal run of a repeated name within a text becomes one symbol; also the lengths of the runs."""
+def _collapse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every maximal run of a repeated name within a text becomes one symbol."""
     new = np.ones(len(names), bool)
     new[1:] = (names[1:] != names[:-1]) | first[1:]
     if new.all():
-        return names, first, np.ones(len(names), np.int64)
+        return names, first
     at = np.flatnonzero(new)
     lengths = np.diff(np.append(at, len(names)))
     heads = names[at]
     many = lengths > 1
     run = _mix(heads[many].astype(_U) + lengths[many].astype(_U) * _ODD[3])
     heads[many] = (run & _U(0x7FFFFFFF)) + _U(0x110001) if heads.dtype == np.uint32 else run
-    return heads, first[at], lengths
+    return heads, first[at]
 
 
 def _phrase_starts(names: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -88,51 +91,44 @@ def _name_phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return _mix(sums + lengths.astype(_U)), first[at]
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """One row of BINS 16-bit values for each text."""
-    prints = np.full((len(texts), BINS), NO_NAME, np.uint16)
+def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, names, the text that each belongs to) from the characters up, until every text is parsed to its root."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.flatnonzero(sizes)
-    if not len(owner):
-        return prints
-    names = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) + np.uint32(1)
-    first = np.zeros(len(names), bool)
-    first[np.concatenate([[0], np.cumsum(sizes[owner])[:-1]])] = True
-    lowest = np.select([sizes >= n for n, _ in FIRST_LEVEL], [level for _, level in FIRST_LEVEL])
+    names = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
     sizes = sizes[owner]
-    taken, owners = [], []
+    first = np.zeros(len(names), bool)
+    first[np.cumsum(sizes) - sizes] = True
     level = 0
-    while True:
-        here = lowest[owner] <= level
-        if here.any():
-            of = np.repeat(owner, sizes)
-            take = slice(None) if here.all() else np.repeat(here, sizes)
-            taken.append(_mix(names[take].astype(_U)))
-            owners.append(of[take])
-        plain = names
-        names, first, runs = _collapse(names, first)
-        if len(names) < len(plain):
-            ends = np.append(np.flatnonzero(first), len(names))
-            if not here.all():
-                long = (runs >= LONG_RUN) & np.repeat(~here, np.diff(ends))
-                heads = plain[np.cumsum(runs)[long] - 1]
-                taken.append(_mix(np.repeat(heads.astype(_U), runs[long])))
-                owners.append(np.repeat(np.repeat(owner, np.diff(ends))[long], runs[long]))
-            sizes = np.diff(ends)
+    while len(names):
+        yield level, names, np.repeat(owner, sizes)
+        names, first = _collapse(names, first)
+        sizes = np.diff(np.append(np.flatnonzero(first), len(names)))
         single = sizes == 1  # parsed to the root
-        if single.all():
-            break
         if single.any():
             rest = np.repeat(~single, sizes)
             names, first, owner = names[rest], first[rest], owner[~single]
-        names, first = _name_phrases(names, first)
-        sizes = np.diff(np.append(np.flatnonzero(first), len(names)))
+        if len(names):
+            names, first = _name_phrases(names, first)
+            sizes = np.diff(np.append(np.flatnonzero(first), len(names)))
         level += 1
-    names, of = _numbered(np.concatenate(taken), np.concatenate(owners))
-    smallest = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, _U)
-    np.minimum.at(smallest, of * BINS + (names >> _U(58)).astype(np.int64), names & _U((1 << 58) - 1))
-    found = smallest != np.iinfo(np.uint64).max
-    values = np.where(found, _mix(smallest) % _U(NO_NAME), _U(NO_NAME)).astype(np.uint16)
+
+
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """One row of BINS 16-bit values for each text."""
+    none = np.iinfo(np.uint64).max
+    smallest = np.full(len(texts) * BINS, none, _U)
+    last, before = len(TIERS) - 1, 0
+    tiers: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in TIERS]
+    for level, names, of in signatures(texts):
+        tiers[min(level, last)].append((_mix(names.astype(_U)), of))
+    for (classes, _), found in zip(TIERS, tiers, strict=True):
+        if found:
+            names, of = _numbered(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+            place = ((names >> _U(40)) * _U(classes) >> _U(24)).astype(np.int64)
+            np.minimum.at(smallest, of * BINS + before + place, names & _U((1 << 40) - 1))
+        before += classes
+    values = np.where(smallest != none, _mix(smallest) % _U(NO_NAME), _U(NO_NAME)).astype(np.uint16)
     return values.reshape(len(texts), BINS)
 
 
@@ -154,9 +150,9 @@ def as_text(prints: np.ndarray) -> list[str]:
 
 
 def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Share of the classes with a name in either fingerprint in which both agree; 1 for two texts without names."""
-    either = ((left != NO_NAME) | (right != NO_NAME)).sum(axis=1)
-    same = ((left == right) & (left != NO_NAME)).sum(axis=1)
+    """Share by weight, of the classes with a name in either, of those that agree; 1 for two texts without names."""
+    either = ((left != NO_NAME) | (right != NO_NAME)) @ WEIGHTS
+    same = ((left == right) & (left != NO_NAME)) @ WEIGHTS
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
