@@ -4,8 +4,8 @@ Each source is a stream of words: its documents in a fixed order, cut into block
 is an exact quota of words, drawn block by block in the order of a pseudo-random permutation of its blocks (computed by
 arithmetic, never sorted); a target above the source's size passes through a second permutation. The draws of all
 sources are dealt to output shards by a binary tree: each node splits the quotas it has between its halves by a
-multivariate-hypergeometric draw, so shards are of equal size and quotas stay exact. A draw finds its shard by
-descending the tree. Within its shard it has a pseudo-random place.
+multivariate-hypergeometric draw, so shards are of equal size and quotas stay exact. The quotas of the leaves cut a
+source's draws into disjoint ranges of permuted blocks, one a shard; a draw finds its own by descending the tree. Within its shard it has a pseudo-random place.
 
 Only (doc_id, source, size) rows shuffle, by (source, bucket) with buckets of bounded size, so that a hot source is
 spread; tables with one row a source or a tree node are aggregates.
@@ -13,8 +13,6 @@ spread; tables with one row a source or a tree node are aggregates.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +26,7 @@ BLOCK_WORDS = 512
 BUCKET_ROWS = 10_000
 SHARDS = 16
 SEED = 7
-_WALK = 16  # steps that bring a permuted block back into range; see _permuted
-_WIDE = 200.0  # standard deviation above which a hypergeometric number is drawn as a normal one
+SWAPS = 32  # rounds of the permutation of a source's blocks
 
 
 def word_count(text: Column) -> Column:
@@ -75,11 +72,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def hypergeometric(total: Column, good: Column, drawn: Column, u: Column, v: Column) -> Column:
-    """The number of good ones among ``drawn`` out of ``total``, from two uniform numbers.
+def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
+    """The number of good ones among ``drawn`` out of ``total``, from a uniform number.
 
-    Its distribution is inverted at u by the ratios of neighbouring probabilities, over ten standard deviations around the
-    mean. Above a deviation of ``_WIDE`` it is as good as normal, and u and v give a normal number.
+    Its distribution is inverted at u by the ratios of neighbouring probabilities, over ten standard deviations around
+    the mean: the work grows as the root of what is drawn, a million steps for some 10^10 draws.
     """
     t, g, d = (x.cast("double") for x in (total, good, drawn))
     mean = F.when(t > 0, d * g / t).otherwise(0.0)
@@ -118,12 +115,8 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column, v: Col
         most = F.least(s["d"], s["g"])
         low = F.greatest(least, F.floor(s["mean"] - 10 * s["sd"]).cast("bigint"))
         high = F.least(most, F.ceil(s["mean"] + 10 * s["sd"]).cast("bigint"))
-        z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
-        normal = F.greatest(least, F.least(most, F.round(s["mean"] + s["sd"] * z).cast("bigint")))
         fields = [s[x].alias(x) for x in ("t", "g", "d")]
-        return F.when(s["sd"] > _WIDE, normal).otherwise(
-            _let(F.struct(*fields, low.alias("low"), F.greatest(low, high).alias("high")), inverted)
-        )
+        return _let(F.struct(*fields, low.alias("low"), F.greatest(low, high).alias("high")), inverted)
 
     return F.when(total > 0, _let(known, ranged)).otherwise(F.lit(0).cast("bigint"))
 
@@ -145,9 +138,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
         start = F.struct(F.col("total").alias("total"), F.col("room").alias("room"), F.array().cast("array<bigint>").alias("left"))
 
         def split(a: Column, x: Column) -> Column:
-            u, v = (_uniform(F.lit(seed + i), F.col("node"), x["rank"]) for i in range(2))
             return _let(
-                hypergeometric(a["total"], x["draws"], a["room"], u, v),
+                hypergeometric(a["total"], x["draws"], a["room"], _uniform(F.lit(seed), F.col("node"), x["rank"])),
                 lambda g: F.struct(
                     (a["total"] - x["draws"]).alias("total"),
                     (a["room"] - g).alias("room"),
@@ -175,32 +167,18 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
 
 
 def _permuted(block: Column, blocks: Column, *key: Column) -> Column:
-    """The place of a block in the source's draw order: a permutation of 0 .. blocks - 1.
+    """The place of a block in the source's draw order: a permutation of 0 .. blocks - 1 at any number of blocks.
 
-    Four rounds of additions on a grid of about sqrt(blocks) by sqrt(blocks) permute the grid; a result beyond the last
-    block is permuted again. Beyond it lie fewer than sqrt(blocks) places, so up to 256 blocks the walk surely ends
-    within ``_WALK`` steps; else it fails to with a chance below 16 ** -16.
+    In each of ``SWAPS`` rounds every place has one partner (their sum is a number of the round, modulo ``blocks``), and
+    a hash of the pair's greater place tells whether the two change places.
     """
-    high = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
-    wide = F.ceil(blocks / high).cast("long")
-
-    def once(x: Column) -> Column:
-        start = F.struct(F.floor(x / wide).cast("long").alias("a"), F.pmod(x, wide).alias("b"))
-        done = F.aggregate(
-            F.array(F.lit(0), F.lit(1)),
-            start,
-            lambda s, i: _let(
-                F.pmod(s["a"] + F.pmod(F.xxhash64(*key, i * 2, s["b"]), high), high),
-                lambda a: F.struct(
-                    a.alias("a"), F.pmod(s["b"] + F.pmod(F.xxhash64(*key, i * 2 + 1, a), wide), wide).alias("b")
-                ),
-            ),
-        )
-        return done["a"] * wide + done["b"]
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_WALK)), once(block), lambda x, _: F.when(x < blocks, x).otherwise(once(x))
-    )
+    def swapped(x: Column, i: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(*key, i), blocks) - x, blocks)
+        trade = F.xxhash64(*key, -1 - i, F.greatest(x, partner)).bitwiseAND(1) == 1
+        return F.when(trade, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SWAPS - 1)), block, swapped)
 
 
 def mix(

@@ -88,7 +88,7 @@ def op7(spark, sf_dir):
 @_query("op2_mixing")
 def op2(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 @_query(
