@@ -115,6 +115,64 @@ def test_parsing_is_locally_consistent():
     assert fingerprint.likeness(a[None], b[None])[0] > 0.8
 
 
+def plain_fingerprint(text):
+    """The fingerprint of a text, parsed symbol by symbol."""
+    mix = lambda x: int(fingerprint._mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    odd = [int(x) for x in fingerprint._ODD]
+    names, level, wide, tiers = [ord(c) + 1 for c in text], 0, False, [[], [], []]
+    while names:
+        tiers[min(level, 2)] += [mix(x) for x in names]
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = []
+        for x, n in runs:
+            run = mix(x + n * odd[3])
+            names.append(x if n == 1 else run if wide else (run & 0x7FFFFFFF) + 0x110001)
+        if len(names) == 1:
+            break
+        labels = []
+        for i, x in enumerate(names):
+            d = x ^ names[i - 1] if i else x
+            low = (d & -d).bit_length() - 1
+            labels.append(2 * low + (x >> low & 1))
+        for _ in range(3):
+            labels = [int(fingerprint._TOSS[labels[i - 1] if i else 0, x]) for i, x in enumerate(labels)]
+        tops = [i for i in range(2, len(names) - 1) if labels[i - 1] < labels[i] > labels[i + 1]]
+        cuts = [0, *tops, len(names)]
+        phrases = [names[a:b] for a, b in zip(cuts, cuts[1:])]
+        names = [mix(sum(x * odd[k & 63] for k, x in enumerate(p)) + len(p)) for p in phrases]
+        wide, level = True, level + 1
+    out, before = [], 0
+    for (classes, _), found in zip(fingerprint.TIERS, tiers):
+        least, seen = {}, Counter()
+        for x in found:
+            y = mix(x + seen[x] * odd[11])
+            seen[x] += 1
+            place = (y >> 40) * classes >> 24
+            least[place] = min(least.get(place, 2**64), y & (2**40 - 1))
+        out += [mix(least[k]) % fingerprint.NO_NAME if k in least else fingerprint.NO_NAME for k in range(classes)]
+    return "".join(f"{x:04x}" for x in out)
+
+
+def test_fingerprints_equal_a_plain_parsers(docs, edge):
+    texts = [r.text or "" for r in docs.limit(60).collect()] + [r.text or "" for r in edge.collect() if len(r.text or "") < 5000]
+    texts = [t[:4000] for t in texts] + ["aaaa", "aaaabbbbaaaa" * 9, "x" * 300, "ab" * 100]
+    assert fingerprint.as_text(fingerprint.fingerprints(texts)) == [plain_fingerprint(t) for t in texts]
+
+
+def test_likeness_has_no_steps(docs):
+    texts = [r.text for r in docs.collect() if len(r.text or "") > 130]
+    near = []
+    for n in range(20, 121):
+        a, b = (fingerprint.fingerprints([t[:k] for t in texts]) for k in (n, n + 1))
+        near.append(fingerprint.likeness(a, b).mean())
+    assert max(abs(x - y) for x, y in zip(near, near[1:])) < 0.06 and min(near) > 0.45
+
+
 def test_fingerprint_edges(spark, edge, empty):
     assert fingerprint.compare_with_next(empty).count() == 0
     got = fingerprint.compare_with_next(edge).collect()
@@ -172,6 +230,54 @@ def test_draws_are_placed_once(docs):
     assert set(shards) <= set(range(4)) and min(shards.values()) > 0.9 * max(shards.values())
 
 
+def test_leaves_quotas_are_what_the_shards_draw(spark):
+    quotas = {0: 7000, 1: 41, 2: 900, 3: 0}
+    tree = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "rank int, draws long"), 8)
+    left = {r.rank: r.left for r in tree.collect()}
+    nodes = {1: dict(quotas)}
+    for node in range(1, 8):
+        nodes[2 * node] = {k: left[k][node - 1] for k in quotas}
+        nodes[2 * node + 1] = {k: nodes[node][k] - left[k][node - 1] for k in quotas}
+        assert all(0 <= left[k][node - 1] <= nodes[node][k] for k in quotas)
+        assert abs(sum(nodes[2 * node].values()) - sum(nodes[2 * node + 1].values())) <= 1
+    assert all(sum(nodes[n][k] for n in range(8, 16)) == q for k, q in quotas.items())
+
+
+def test_another_tree_deals_the_same_blocks_otherwise(docs):
+    four, eight = (mixing.mix(docs, shards=n, block_words=64).collect() for n in (4, 8))
+    assert {(r.doc_id, r.taken) for r in four} == {(r.doc_id, r.taken) for r in eight}
+    where = [{(r.source, p.place): p.shard for r in x for p in r.pieces} for x in (four, eight)]
+    assert where[0].keys() == where[1].keys() and where[0] != where[1]
+    # a shard's draws of a source are a range of the source's draws, as long as its leaf's quota
+    sizes = Counter((s, shard) for (s, _), shard in where[0].items())
+    draws = Counter(s for s, _ in where[0])
+    ranks = {s: i for i, s in enumerate(sorted(draws, key=lambda s: (s is None, s)))}
+    spark = docs.sparkSession
+    tree = mixing.splitting_tree(spark.createDataFrame([(ranks[s], n) for s, n in draws.items()], "rank int, draws long"), 4)
+    left = {r.rank: r.left for r in tree.collect()}
+    for s, i in ranks.items():
+        a, b, c = left[i]
+        assert [sizes[s, k] for k in range(4)] == [b, a - b, c, draws[s] - a - c]
+
+
+def test_blocks_are_permuted(spark):
+    for blocks in (1, 2, 7, 256, 1000):
+        at = spark.range(blocks).select(mixing._permuted(F.col("id"), F.lit(blocks), F.lit(3), F.lit("k")).alias("p")).collect()
+        assert sorted(r.p for r in at) == list(range(blocks))
+        assert blocks < 100 or sum(r.p == i for i, r in enumerate(at)) < 10
+
+
+def test_hypergeometric_numbers(spark):
+    """Mean and spread of the draws, a narrow and a wide one."""
+    u = (F.col("id") + 0.5) / 400
+    for total, good, drawn in ((50, 20, 10), (4_000_000, 1_000_000, 2_000_000)):
+        row = spark.range(400).select(mixing.hypergeometric(*(F.lit(x).cast("long") for x in (total, good, drawn)), u).alias("x"))
+        mean, sd = row.agg(F.mean("x"), F.stddev("x")).first()
+        p = good / total
+        spread = (drawn * p * (1 - p) * (total - drawn) / (total - 1)) ** 0.5
+        assert mean == pytest.approx(drawn * p, abs=0.05 * spread) and sd == pytest.approx(spread, rel=0.05)
+
+
 def test_written_mixture_holds_the_pieces(spark, docs, tmp_path):
     path = str(tmp_path / "mix")
     mixing.write_mixture(docs, path, shards=4)
@@ -384,7 +490,9 @@ def test_personal_data_of_documents(docs, edge, empty):
             base = next(x for k, x in found.items() if hashlib.sha256(k.encode()).hexdigest() == r.base_sha256)
             assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in PLAIN]
             spans = r.spans.split(",") if r.spans else []
-            assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans) and len(spans) == len(base) + r.added
+            keys = sum(x.startswith("secret:") for x in spans)
+            assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans) and len(spans) == r.n_spans
+            assert len(base) + r.added <= r.n_spans <= len(base) + r.added + keys
     assert pii.find_personal_data(empty).count() == 0
 
 
@@ -396,6 +504,62 @@ def test_contexts_discover_identifiers(spark):
     assert got[101].spans == ""
 
 
+def plain_bootstrap(found):
+    """The rounds in plain Python: instance -> kind of those discovered, and the trusted patterns."""
+    edges = {(p, o["instance"]) for o in found for p in o["patterns"]}
+    of = defaultdict(set)
+    for p, i in edges:
+        of[p].add(i)
+    shape, failed = ({o["instance"]: o[x] for o in found} for x in ("form", "failed"))
+    seeds = {(o["instance"], o["kind"]) for o in found if o["kind"]}
+    seeded, discovered, trusted = {i for i, _ in seeds}, {}, {}
+    for _ in range(pii.ROUNDS):
+        labels = {**{x: 1.0 for x in seeds}, **{(i, k): s for i, (s, k) in discovered.items()}}
+        known = {i for i, _ in labels}
+        trusted = {}
+        for p, members in of.items():
+            for kind in pii.ALL_KINDS:
+                held = [labels[i, kind] for i in members if (i, kind) in labels]
+                forms = {shape[i] for i, k in labels if k == kind}
+                free = [i for i in members if i not in known and shape[i] in forms and failed[i] != kind]
+                share = sum(held) / (sum(held) + len(members) - len(held) - len(free) + pii.DOUBT) if held else 0
+                if len(held) >= pii.MIN_SUPPORT and share >= pii.MIN_CONFIDENCE:
+                    trusted[p, kind] = share
+        doubt = defaultdict(lambda: 1.0)
+        for (p, kind), share in trusted.items():
+            for i in of[p] - seeded:
+                if failed[i] != kind:
+                    doubt[i, kind] *= 1 - share
+        after = {}
+        for (i, kind), d in doubt.items():
+            after[i] = max(after.get(i, (0, "")), (round(1 - d, 12), kind))
+        if len(after) in (0, len(discovered)):
+            return {i: k for i, (_, k) in after.items()}, trusted
+        discovered = after
+    return {i: k for i, (_, k) in discovered.items()}, trusted
+
+
+def test_rounds_against_plain_python(spark, docs):
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    key = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"
+    made = [f'token = "{key[i:] + key[:i]}" is one' for i in range(6)] + [f"TOKEN = hidden-{i}-word, kept" for i in range(2)]
+    made += [f"Des +1 (826) 555-{4000 + i} then" for i in range(5)] + ["Des +1 (826) 555-4081 190.137.2.44 both", "card no 4111111111111112 here"]
+    made += [f"token = other-{key[:i]}9876 there" for i in range(1, 4)] + ["reach other-09876 at other-019876 now"]
+    texts |= {10_000 + i: t for i, t in enumerate(made)}
+    found = [o for t in texts.values() for o in pii.occurrences(t, pii.base_spans(t))]
+    wanted, trusted = plain_bootstrap(found)
+    assert "+1 (826) 555-4081" in wanted and "4111111111111112" not in wanted
+    got = by_id(pii.find_personal_data(rows(spark, [(i, t, "en", "web") for i, t in texts.items()])))
+    for i, t in texts.items():
+        new = [o for o in pii.occurrences(t, pii.base_spans(t)) if o["kind"] is None and o["instance"] in wanted]
+        spans = set(got[i].spans.split(","))
+        assert got[i].added <= len(new) and (got[i].added > 0) == bool(new)
+        told = {f"{wanted[o['instance']]}:{o['start']}:{o['end']}" for o in new}
+        assert len(told & spans) == got[i].added
+        assert all(any((p, wanted[o["instance"]]) in trusted for p in o["patterns"] ) or o["instance"] in wanted for o in new)
+    assert sum(r.added for r in got.values()) > 0
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 
