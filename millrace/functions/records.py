@@ -85,3 +85,55 @@ def days_back(goal: Column) -> Column:
     """Days before today that a goal names: 0 for today, 1 for yesterday, n for "last n days"; null for none."""
     n = F.regexp_extract(goal, r"(?i)\blast (\d+) days\b", 1)
     return F.when(n != "", n.cast("int")).when(goal.rlike(r"(?i)\byesterday\b"), 1).when(goal.rlike(r"(?i)\btoday\b"), 0)
+
+
+def first_reason(**checks: Column) -> Column:
+    """The name of the first check that fails (is true), in the order given; null where none does. Null fails nothing."""
+    return F.coalesce(*[F.when(failed, F.lit(name)) for name, failed in checks.items()], F.lit(None).cast("string"))
+
+
+def option_description(label: Column) -> Column:
+    """A lone capital letter, which means nothing by itself, is described as a mark in the state; others stay."""
+    mark = F.regexp_replace(label, r"\.$", "")
+    return F.when(label.rlike(r"^[A-Z]\.?$"), F.concat(F.lit("The answer marked "), mark, F.lit(" in the supplied state"))).otherwise(label)
+
+
+def prefix_slice(name: Column, **prefixes: str) -> Column:
+    """The first slice whose regular expression the beginning of the name matches, else ``other``."""
+    return F.coalesce(*[F.when(name.rlike(f"^(?:{p})"), F.lit(k)) for k, p in prefixes.items()], F.lit("other"))
+
+
+def source_keys(value: Column) -> Column:
+    """The distinct keys of a field that may name several sources: split, lower-cased, other characters to ``_``."""
+    parts = F.transform(F.split(value, r"\s+and\s+|[,;/+]|\s"), lambda x: F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"))
+    return F.array_distinct(F.filter(parts, lambda x: x.rlike("[a-z0-9]")))
+
+
+def word_fingerprint(text: Column) -> Column:
+    """Digest of the lower-cased runs of letters, digits and underscores, joined by single blanks; of '' for null."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.sha2(F.array_join(words, " "), 256)
+
+
+def canonical_object(**fields: Column) -> Column:
+    """Compact JSON of string and integer fields in the order of their names; null fields are written as null."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(quoted(fields[k]), F.lit("null"))) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def visible(items: Column, mask: Column) -> Column:
+    """The items whose bit (the first item has the lowest) is set in ``mask``."""
+    return F.filter(items, lambda x, i: F.floor(mask / F.pow(F.lit(2), i)) % 2 == 1)
+
+
+def two_sensor_posterior(prior: Column, hit: Column, false_alarm: Column, reports: Column) -> Column:
+    """P(event) after independent reports (an array of booleans); null when the evidence is impossible."""
+    chance = lambda p: F.aggregate(reports, F.lit(1.0), lambda a, r: a * F.when(r, p).otherwise(1 - p))
+    yes, no = prior * chance(hit), (1 - prior) * chance(false_alarm)
+    return F.when(yes + no > 0, yes / (yes + no))
+
+
+def expected_utility(outcomes: Column, utilities: Column, cost: Column) -> Column:
+    """Sum of probability times utility over aligned arrays, less the expected cost."""
+    return F.aggregate(F.zip_with(outcomes, utilities, lambda p, u: p * u), F.lit(0.0), lambda a, x: a + x) - cost

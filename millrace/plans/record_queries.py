@@ -16,17 +16,9 @@ def request_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.request_key(F.col("text")).alias("k"))
 
 
-@query("command_templates", r"SELECT regexp_replace(left(text, 40), '\d+(\.\d+)?', 'N', 'g') AS t, count(*) AS n FROM (SELECT replace(replace(text, chr(39), ''), '\"', '') AS text FROM conversations) GROUP BY 1")
+@query("command_templates", r"""SELECT regexp_replace(regexp_replace(text, '''[^'']*''|\"[^\"]*\"', 'S', 'g'), '\d+(\.\d+)?', 'N', 'g') AS t, count(*) AS n FROM conversations GROUP BY 1""")
 def command_templates(spark, sf_dir):
-    plain = F.replace(F.replace(F.col("text"), F.lit("'"), F.lit("")), F.lit('"'), F.lit(""))
-    rows = table(spark, sf_dir, "conversations").select(R.command_template(F.left(plain, F.lit(40))).alias("t"))
-    return rows.groupBy("t").agg(F.count("*").alias("n"))
-
-
-@query("command_templates_whole", r"SELECT regexp_replace(text, '\d+(\.\d+)?', 'N', 'g') AS t, count(*) AS n FROM (SELECT replace(replace(text, chr(39), ''), '\"', '') AS text FROM conversations) GROUP BY 1")
-def command_templates_whole(spark, sf_dir):
-    plain = F.replace(F.replace(F.col("text"), F.lit("'"), F.lit("")), F.lit('"'), F.lit(""))
-    return table(spark, sf_dir, "conversations").select(R.command_template(plain).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "conversations").groupBy(R.command_template(F.col("text")).alias("t")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -39,20 +31,11 @@ def option_menus(spark, sf_dir):
     return menus.where(R.valid_menu(F.col("o"))).select("l_orderkey", F.array_join(shuffled, ",").alias("menu"))
 
 
-_SOFT = "WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"
+_SOFT = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"
 
 
-@query("distribution_scores", _SOFT + " SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, round(list_sum(list_transform(p, lambda x: abs(x - 0.25))) / 2, 6) AS from_uniform FROM p")
+@query("distribution_scores", _SOFT + " SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, round(list_sum(list_transform(p, lambda x: abs(x - 1.0::DOUBLE / len(p)))) / 2, 6) AS from_uniform FROM p")
 def distribution_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.exp(x.cast("double"))).alias("e"))
-    p = e.select("vec_id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
-    uniform = F.array(*[F.lit(0.25)] * 4)
-    ok = p.where(R.valid_distribution(F.col("p")))
-    return ok.select("vec_id", F.round(R.entropy(F.col("p")), 6).alias("entropy"), F.round(R.total_variation(F.col("p"), uniform), 6).alias("from_uniform"))
-
-
-@query("distribution_scores_whole", _SOFT.replace("embedding[1:4]", "embedding") + " SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, round(list_sum(list_transform(p, lambda x: abs(x - 1.0::DOUBLE / len(p)))) / 2, 6) AS from_uniform FROM p")
-def distribution_scores_whole(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("e"))
     p = e.select("vec_id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
     ok = p.where(R.valid_distribution(F.col("p"))).withColumn("uniform", F.transform("p", lambda x: F.lit(1.0) / F.size("p")))
@@ -76,11 +59,11 @@ def violations(spark, sf_dir):
 
 @query("order_totals", "SELECT o_orderkey, round(coalesce((SELECT sum(l_quantity * l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.02), 0), 2) AS total FROM orders")
 def order_totals(spark, sf_dir):
-    for name in ("orders", "lineitem"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"mr_{name}")
     return spark.sql(
-        "SELECT o_orderkey, round(coalesce((SELECT sum(l_quantity * l_extendedprice) FROM mr_lineitem "
-        "WHERE l_orderkey = o_orderkey AND l_discount > 0.02), 0), 2) AS total FROM mr_orders"
+        "SELECT o_orderkey, round(coalesce((SELECT sum(l_quantity * l_extendedprice) FROM {lines} "
+        "WHERE l_orderkey = o_orderkey AND l_discount > 0.02), 0), 2) AS total FROM {orders}",
+        lines=table(spark, sf_dir, "lineitem"),
+        orders=table(spark, sf_dir, "orders"),
     )
 
 

@@ -102,15 +102,15 @@ def list_memberships(spark, sf_dir):
     return R.membership_counts(lists, "item", "name")
 
 
-_EDGES = "WITH RECURSIVE d AS (SELECT DISTINCT p_size AS a, ((p_partkey * 7) % 50 + 1)::INT AS b, (p_partkey % 20 + 1)::BIGINT AS cost FROM part WHERE p_partkey % 9 = 0)"
+_EDGES = "WITH RECURSIVE d AS (SELECT p_size AS a, ((p_partkey * 7) % 50 + 1)::INT AS b, min(p_partkey % 20 + 1)::BIGINT AS cost FROM part GROUP BY 1, 2)"
+_STARTS = "SELECT x::INT AS start, x::INT AS node"
 
 
-def _edges(spark, sf_dir, share: str = "p_partkey % 9 = 0"):
-    parts = table(spark, sf_dir, "part").where(share)
-    return parts.select(F.col("p_size").alias("a"), ((F.col("p_partkey") * 7) % 50 + 1).cast("int").alias("b"), (F.col("p_partkey") % 20 + 1).alias("cost"))
+def _edges(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), ((F.col("p_partkey") * 7) % 50 + 1).cast("int").alias("b"), (F.col("p_partkey") % 20 + 1).alias("cost"))
 
 
-@query("reachable_nodes", _EDGES + ", r AS (SELECT x::INT AS start, x::INT AS node FROM range(1, 6) q(x) UNION SELECT r.start, d.b FROM r JOIN d ON d.a = r.node) SELECT start, node FROM r")
+@query("reachable_nodes", _EDGES + f", r AS ({_STARTS} FROM range(1, 6) q(x) UNION SELECT r.start, d.b FROM r JOIN d ON d.a = r.node) SELECT start, node FROM r")
 def reachable_nodes(spark, sf_dir):
     starts = spark.range(1, 6).select(F.col("id").cast("int").alias("start"))
     return R.reachable(_edges(spark, sf_dir), starts)
@@ -118,25 +118,15 @@ def reachable_nodes(spark, sf_dir):
 
 @query(
     "route_costs",
-    _EDGES + ", r AS (SELECT x::INT AS start, x::INT AS node, 0::BIGINT AS cost FROM range(1, 6) q(x) UNION SELECT r.start, d.b, r.cost + d.cost FROM r JOIN d ON d.a = r.node WHERE r.cost + d.cost <= 150) SELECT start, node, min(cost) AS cost FROM r GROUP BY 1, 2",
+    _EDGES
+    + f", n AS (SELECT DISTINCT x::INT AS start, unnest([a, b, x::INT]) AS node FROM d, range(1, 6) q(x)), r(start, node, cost) USING KEY (start, node) AS (SELECT start, node, CASE WHEN start = node THEN 0 ELSE 1000000 END::BIGINT FROM n "
+    "UNION SELECT r.start, d.b, min(r.cost + d.cost) FROM r JOIN d ON d.a = r.node JOIN recurring.r AS k ON k.start = r.start AND k.node = d.b WHERE r.cost + d.cost < k.cost GROUP BY 1, 2) SELECT start, node, cost FROM r WHERE cost < 1000000",
 )
 def route_costs(spark, sf_dir):
     starts = spark.range(1, 6).select(F.col("id").cast("int").alias("start"))
     return R.least_costs(_edges(spark, sf_dir), starts)
 
 
-@query("reachable_nodes_whole")  # of all parts, without SQL
-def reachable_nodes_whole(spark, sf_dir):
-    starts = spark.range(1, 6).select(F.col("id").cast("int").alias("start"))
-    return R.reachable(_edges(spark, sf_dir, "true"), starts)
-
-
-@query("route_costs_whole")
-def route_costs_whole(spark, sf_dir):
-    starts = spark.range(1, 6).select(F.col("id").cast("int").alias("start"))
-    return R.least_costs(_edges(spark, sf_dir, "true"), starts)
-
-
 @query(
     "unit_conversion_maxima",
     """WITH u(unit, num, den) AS (VALUES (0, 1, 1), (1, 254, 100), (2, 3048, 1000)), q AS (SELECT p_brand, p_partkey, p_size * num * 1000 // den AS v FROM part JOIN u ON unit = p_partkey % 3)
@@ -145,18 +135,17 @@ def route_costs_whole(spark, sf_dir):
 def unit_maxima(spark, sf_dir):
     units = spark.createDataFrame([(0, 1, 1), (1, 254, 100), (2, 3048, 1000)], "unit int, num int, den int")
     parts = table(spark, sf_dir, "part").join(F.broadcast(units), F.col("p_partkey") % 3 == F.col("unit"))  # three rows
-    value = F.floor(F.col("p_size") * F.col("num") * 1000 / F.col("den"))
+    value = F.expr("p_size * num * 1000 div den")  # exact in integers
     return R.best_of(parts.withColumn("v", value), "p_brand", "p_partkey", "v", F.lit(True), none=None)
 
 
-@query("supplier_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE ('0x' || substr(sha256(l_suppkey || ':' || l_partkey), 1, 8))::UBIGINT % 40 = 0), g AS (SELECT a.s AS a, b.s AS b FROM e a JOIN e b USING (p) GROUP BY ALL), r AS (SELECT DISTINCT s AS a, s AS b FROM e UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1")
+@query(
+    "supplier_components",
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey - 1000000000 AS s, l_partkey AS p FROM lineitem), d AS (SELECT s AS a, p AS b FROM e UNION ALL SELECT p, s FROM e), n AS (SELECT DISTINCT a FROM d), "
+    "c(node, component) USING KEY (node) AS (SELECT a, a FROM n UNION SELECT d.b, min(c.component) FROM c JOIN d ON d.a = c.node JOIN recurring.c AS r ON r.node = d.b WHERE c.component < r.component GROUP BY d.b) "
+    "SELECT node + 1000000000 AS node, component + 1000000000 AS component FROM c WHERE node < 0",
+)
 def supplier_components(spark, sf_dir):
-    share = F.conv(F.substring(F.sha2(F.concat_ws(":", "l_suppkey", "l_partkey"), 256), 1, 8), 16, 10).cast("long") % 40
-    return _supplier_components(table(spark, sf_dir, "lineitem").where(share == 0))
-
-
-@query("supplier_components_whole")  # of all lines, without SQL
-def supplier_components_whole(spark, sf_dir):
     return _supplier_components(table(spark, sf_dir, "lineitem"))
 
 

@@ -52,8 +52,8 @@ def test_whole_graphs_against_brute_force(spark, duck):
             for b, c in changed:
                 cost[b] = min(c, cost.get(b, math.inf))
         want |= {(start, b): c for b, c in cost.items()}
-    assert {(r.start, r.node): r.cost for r in registry.QUERIES["route_costs_whole"](spark, SF).collect()} == want
-    assert {(r.start, r.node) for r in registry.QUERIES["reachable_nodes_whole"](spark, SF).collect()} == set(want)
+    assert {(r.start, r.node): r.cost for r in registry.QUERIES["route_costs"](spark, SF).collect()} == want
+    assert {(r.start, r.node) for r in registry.QUERIES["reachable_nodes"](spark, SF).collect()} == set(want)
     root = {}
 
     def find(x):
@@ -64,21 +64,50 @@ def test_whole_graphs_against_brute_force(spark, duck):
     for s, p in duck.execute("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall():
         low, high = sorted((find((0, s)), find((1, p))))
         root[high] = low
-    got = {r.node: r.component for r in registry.QUERIES["supplier_components_whole"](spark, SF).collect()}
+    got = {r.node: r.component for r in registry.QUERIES["supplier_components"](spark, SF).collect()}
     assert got == {x[1]: find(x)[1] for x in list(root) if x[0] == 0}
 
 
 def test_texts_and_vectors_are_read_whole(spark, tmp_path):
     same = "run the job with forty equal characters in front of "
     spark.createDataFrame([(f"{same}a 1",), (f"{same}b 2",), (f"{same}b 37",), (None,)], "text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.t: r.n for r in registry.QUERIES["command_templates_whole"](spark, str(tmp_path)).collect()}
+    got = {r.t: r.n for r in registry.QUERIES["command_templates"](spark, str(tmp_path)).collect()}
     assert got == {f"{same}a N": 1, f"{same}b N": 2, None: 1}
     spark.createDataFrame([(1, [0.0] * 8), (2, [0.0] * 7 + [math.log(9)])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r.vec_id: (r.entropy, r.from_uniform) for r in registry.QUERIES["distribution_scores_whole"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: (r.entropy, r.from_uniform) for r in registry.QUERIES["distribution_scores"](spark, str(tmp_path)).collect()}
     assert got[1] == pytest.approx((math.log(8), 0), abs=1e-6)
     assert got[2] == pytest.approx((7 / 16 * math.log(16) - 9 / 16 * math.log(9 / 16), 7 / 16), abs=1e-6)
 
 
+def test_ownership_against_plain_rounds(spark, duck):
+    fetch = lambda sql: duck.execute(sql).fetchall()
+    records = fetch("SELECT DISTINCT l_orderkey, o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 AND o_custkey % 3 > 0")
+    aliases = fetch("SELECT DISTINCT l_suppkey, l_partkey * 1000 + l_suppkey % 7 FROM lineitem WHERE l_suppkey % 2 = 0")
+    rank = dict(fetch("SELECT s_suppkey, s_nationkey % 3 FROM supplier"))
+    blocked = {}
+    while True:
+        meet = {}
+        for s, a in aliases:
+            if s not in blocked:
+                meet.setdefault(("schema_alias", a), set()).add(s)
+        servers = {}
+        for r, q, s in records:
+            servers.setdefault((r, q), set()).add(s)
+        for (_, q), members in servers.items():
+            if not members & set(blocked) and len({rank[s] for s in members}) == 1:
+                meet.setdefault(("repeated_request", q), set()).update(members)
+        new = {}
+        for (reason, _), members in meet.items():
+            for s in members:
+                if rank[s] < max(rank[x] for x in members):
+                    new[s] = min(reason, new.get(s, reason))
+        if not new:
+            break
+        blocked |= new
+    got = {r.server: r.reason for r in registry.QUERIES["owned_servers"](spark, SF).collect()}
+    assert got == blocked and blocked
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
