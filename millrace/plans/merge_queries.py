@@ -45,12 +45,12 @@ def token_overlaps(spark, sf_dir):
 
 @query(
     "averaged_forecasts",
-    """WITH p AS (SELECT p_brand AS k, p_partkey, unnest([p_size / 100.0, 1 - p_size / 100.0, p_retailprice / 9973]) AS p, unnest([0, 1, 2]) AS pos FROM part),
+    """WITH p AS (SELECT p_brand AS k, p_partkey, unnest([p_size / 97.0, 1 - p_size / 97.0, p_retailprice / 9973]) AS p, unnest([0, 1, 2]) AS pos FROM part),
     a AS (SELECT k, pos, avg(p) AS p FROM p GROUP BY 1, 2), m AS (SELECT p_brand AS k, count(*) AS members FROM part GROUP BY 1)
     SELECT k, members, round(max(p) FILTER (pos = 0), 6) AS yes, round(max(p) FILTER (pos = 1), 6) AS no, round(max(p) FILTER (pos = 2), 6) AS other FROM a JOIN m USING (k) GROUP BY 1, 2""",
 )
 def averaged_forecasts(spark, sf_dir):
-    share = F.col("p_size") / 100
+    share = F.col("p_size") / 97
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("k"), F.array(share, 1 - share, F.col("p_retailprice") / 9973).alias("v"))
     v = M.average_vectors(rows, "k", "v")
     return v.select("k", "members", *[F.round(F.get("v", F.lit(i)), 6).alias(n) for i, n in enumerate(("yes", "no", "other"))])
