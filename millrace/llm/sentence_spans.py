@@ -7,8 +7,9 @@ occur more than once anywhere are repeated; the first occurrence (smallest id, t
 that another occurrence covers is removed. Of a repeated passage, only words at its two edges can stay, up to the
 nearest place where both copies are cut.
 
-The runs of all documents are counted by a 64-bit hash first; only runs whose hash repeats (a broadcast Bloom filter of
-bounded size tells) go on with their 128-bit hash and position, and only texts with something to remove shuffle. All
+A text's own repeats are found where it is parsed; only the first of equal runs of a text is compared with other texts.
+These are counted by a 64-bit hash first; only runs whose hash repeats (a broadcast Bloom filter of bounded size tells)
+go on with their 128-bit hash and position, and only texts that repeat others shuffle. All
 texts of a batch are parsed and hashed together in numpy: a run's hash is a difference of running polynomial sums.
 """
 
@@ -115,6 +116,18 @@ class _Pieces:
         return tuple(np.concatenate([x[there], y[fits]]) for x, y in ((owner, owner), (pieces, begin), (stop, ending)))
 
 
+    def split_runs(self, back: bool) -> tuple[tuple, tuple]:
+        """The runs (text, first, stop, h1, h2) that no earlier run of their text equals, and those that one does."""
+        text, first, stop = self.runs(back)
+        order = np.argsort(first, kind="stable")
+        text, first, stop = text[order], first[order], stop[order]
+        columns = text, first, stop, *(self.hashes(first, stop) if len(text) else [np.zeros(0, np.uint64)] * 2)
+        key = columns[3] ^ _mixed(columns[4] + text.astype(np.uint64) * _MIX[0])
+        new = np.zeros(len(text), bool)
+        new[np.unique(key, return_index=True)[1]] = True
+        return tuple(x[new] for x in columns), tuple(x[~new] for x in columns)
+
+
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of the sentences: text up to ``.``, ``!`` or ``?`` before a blank, or up to a line's end.
 
@@ -129,11 +142,10 @@ def _hash_runs(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa.Rec
     for batch in batches:
         for piece in pieces(batch, 2):
             found = _Pieces(piece.column(2).fill_null("").to_pylist())
-            text, first, stop = found.runs(back)
+            (text, first, stop, h1, h2), _ = found.split_runs(back)
             if not len(text):
                 continue
             owner = pa.array(text)
-            h1, h2 = found.hashes(first, stop)
             yield pa.record_batch(
                 {
                     "doc_id": piece.column(0).take(owner),
@@ -146,34 +158,36 @@ def _hash_runs(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa.Rec
             )
 
 
-def _without(text: str, start: np.ndarray, covered: list[dict]) -> tuple[str, int]:
-    """The text without the covered pieces, which begin at ``start``, and their number."""
-    gone = np.zeros(len(start) + 2, np.int64)
-    for r in covered:
-        gone[r["first"] + 1] += 1
-        gone[r["first"] + r["size"] + 1] -= 1
-    gone = np.cumsum(gone) > 0  # from the second entry on, whether a piece goes
-    turns = np.flatnonzero(np.diff(gone))
+def _without(text: str, start: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the pieces that are ``gone``; they begin at ``start``."""
+    turns = np.flatnonzero(np.diff(gone, prepend=False, append=False))
     edges = np.append(start, len(text))[turns].tolist()
-    kept = [text[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(text)], strict=True)]
-    return "".join(kept), int(gone.sum())
+    return "".join(text[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(text)], strict=True))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, 1):
             texts, covered = piece.column(1).to_pylist(), piece.column(2).to_pylist()
             found = _Pieces(texts)
+            _, (_, first, stop, _, _) = found.split_runs(back)  # repeated within their text
+            spans = [(found.of[i] + r["first"], r["size"]) for i, x in enumerate(covered) for r in x or ()]
+            others = np.array(spans, np.int64).reshape(-1, 2)
+            change = np.zeros(len(found.start) + 1, np.int64)
+            np.add.at(change, np.append(first, others[:, 0]), 1)
+            np.add.at(change, np.append(stop, others.sum(axis=1)), -1)
+            gone = np.cumsum(change)[:-1] > 0
+            removed = np.diff(np.append(0, np.cumsum(gone))[found.of])
             left = [
-                _without(x, found.start[found.of[i] : found.of[i + 1]], c) if c else (x, 0)
-                for i, (x, c) in enumerate(zip(texts, covered, strict=True))
+                _without(texts[i], found.start[a:b], gone[a:b]) if n else texts[i]
+                for i, (a, b, n) in enumerate(zip(found.of[:-1].tolist(), found.of[1:].tolist(), removed.tolist(), strict=True))
             ]
             yield pa.record_batch(
                 {
                     "doc_id": piece.column(0),
-                    "text": pa.array([x for x, _ in left], pa.string()),
-                    "n_removed": pa.array([n for _, n in left], pa.int64()),
-                    "removed_chars": pa.array([len(t) - len(x) for t, (x, _) in zip(texts, left, strict=True)], pa.int64()),
+                    "text": pa.array(left, pa.string()),
+                    "n_removed": pa.array(removed, pa.int64()),
+                    "removed_chars": pa.array([len(t) - len(x) for t, x in zip(texts, left, strict=True)], pa.int64()),
                 }
             )
 
@@ -197,9 +211,9 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     twice = cut(spans.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     bits = filter_bits(twice.count())
     bitmaps = cut(membership_filter(twice, "h1", bits))
-    likely = cut(with_may_repeat(spans, "h1", bitmaps, bits, "likely").where("likely").drop("likely").distinct())
+    likely = cut(with_may_repeat(spans, "h1", bitmaps, bits, "likely").where("likely").drop("likely"))
     place = F.struct("doc_id", "text_hash", "first")
-    groups = likely.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    groups = likely.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("not (kept <=> last)").drop("last")
     groups = cut(groups)  # so that the next join has exchanges of its own, of which Spark splits a common passage's
     later = likely.join(groups, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
     by_doc = cut(
@@ -208,16 +222,11 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     doc_bits = filter_bits(by_doc.count())
     doc_maps = cut(membership_filter(by_doc, "text_hash", doc_bits))
     tested = with_may_repeat(rows, "text_hash", doc_maps, doc_bits, "touched")
-    nothing = F.lit(0).cast("long")
     side = by_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "covered")
     touched = tested.where("touched").join(
         side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left"
     )
     none = F.array().cast("array<struct<first:int,size:int>>")
-    cleaned = touched.select("doc_id", "text", F.coalesce("covered", none).alias("covered")).mapInArrow(
-        _remove, f"doc_id {kind}, text string, n_removed long, removed_chars long"
-    )
-    untouched = tested.where(~F.col("touched")).select(
-        "doc_id", "text", nothing.alias("n_removed"), nothing.alias("removed_chars")
-    )
-    return untouched.unionByName(cleaned)
+    untouched = tested.where(~F.col("touched")).select("doc_id", "text", none.alias("covered"))
+    both = touched.select("doc_id", "text", F.coalesce("covered", none).alias("covered")).unionByName(untouched)
+    return both.mapInArrow(partial(_remove, back=back), f"doc_id {kind}, text string, n_removed long, removed_chars long")
