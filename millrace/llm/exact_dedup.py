@@ -109,6 +109,7 @@ def _decide(keyed: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame, int]
     groups = rows.groupBy("text_sha256").agg(
         F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
     )
+    groups = cut(groups)  # so that the next join has exchanges of its own, of which Spark splits a hot text's
     repeated = (
         rows.join(groups, "text_sha256")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
