@@ -170,3 +170,41 @@ def test_scalar_functions(spark):
     assert get(R.days_back(F.lit("the last 12 days"))) == 12 and get(R.days_back(F.lit("Yesterday"))) == 1
     boards = {tuple(get(R.canonical_board(F.array(*map(F.lit, b)), 2))) for b in ([1, 2, 3, 4], [3, 1, 4, 2], [2, 1, 4, 3])}
     assert len(boards) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_queued_responses_against_a_queue(spark, seed):
+    from millrace.operators.schedules import queue_pairs
+
+    r = random.Random(seed)
+    rows = [(i % 2, r.choice("ab"), i, r.choice(["call", "reply", "other"])) for i in range(120)]
+    waiting, want = {}, set()
+    for k, name, i, kind in rows:
+        if kind == "call":
+            waiting.setdefault((k, name), []).append(i)
+        elif kind == "reply" and waiting.get((k, name)):
+            want.add((waiting[k, name].pop(0), i))
+    got = queue_pairs(spark.createDataFrame(rows, "k int, name string, i int, kind string"), ["k", "name"], ["i"], "kind", "call", "reply").collect()
+    calls = {(x.k, x.name, x.number): x.i for x in got if x.kind == "call"}
+    assert {(calls[x.k, x.name, x.number], x.i) for x in got if x.kind == "reply" and x.matched} == want and want
+    assert {x.i for x in got if x.kind == "call" and x.matched} == {a for a, _ in want}
+    assert {x.number for x in got if not x.matched and x.kind == "reply"} <= {None}
+
+
+@pytest.mark.parametrize("cap", [1, 2])
+def test_capped_greedy_against_visits(spark, cap):
+    from millrace.operators.schedules import capped_greedy
+
+    r = random.Random(cap)
+    rows = [(i, x) for i, x in enumerate(r.sample(range(1000), 60))]
+    members = [(i, r.choice("abcdefghijkl")) for i in range(58) for _ in range(r.randint(1, 3))]  # some repeated, two rows in none
+    held, want = {}, {}
+    for i, _ in sorted(rows, key=lambda x: x[1]):
+        own = {g for j, g in members if j == i}
+        want[i] = all(held.get(g, 0) < (3 if g == "a" else cap) for g in own)
+        for g in own:
+            held[g] = held.get(g, 0) + want[i]
+    caps = spark.createDataFrame([("a", 3)], "group string, cap int")
+    frames = spark.createDataFrame(rows, "id int, rank int"), spark.createDataFrame(members, "id int, group string")
+    assert {x.id: x.taken for x in capped_greedy(*frames, cap, caps).collect()} == want
+    assert capped_greedy(*[f.limit(0) for f in frames], cap).count() == 0
