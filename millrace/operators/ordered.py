@@ -30,7 +30,10 @@ def pair_calls(turns: DataFrame, by: str, order: str, role: str, call: str, resp
 
 
 def discounted_advantages(steps: DataFrame, by: str, order: str, reward: str, value: str, gamma: float, decay: float) -> DataFrame:
-    """(by, order, advantage): generalised advantages, folded from the end of each episode; the value after it is 0."""
+    """(by, order, advantage): generalised advantages, folded from the end of each episode; the value after it is 0.
+
+    Rows of equal order go by reward, then value.
+    """
     rows = steps.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(reward).cast("double").alias("r"), F.col(value).cast("double").alias("v")))).alias("x"))
     start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("adv"), F.array().cast("array<double>").alias("out"))
 

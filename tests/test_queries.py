@@ -113,3 +113,56 @@ def test_entry(spark):
 
     assert {r.reason for r in e.entry(spark).collect()} >= {"retained"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_first_come_documents_against_visits(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    base = [[r.choice("abcdefghijklmnop") for _ in range(40)] for _ in range(4)]
+    texts = []
+    for i in range(60):
+        words = list(base[i % 4])
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(40)] = r.choice("qrstuv")
+        texts.append(" ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets, kept = [set(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)], []
+    first = [i for i, s in enumerate(sets) if s not in sets[:i]]
+    for i in first:
+        if not any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in kept):
+            kept.append(i)
+    got = {x.id: x.taken for x in registry.QUERIES["first_come_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: i in kept for i in first} and 4 < len(kept) < len(first)
+
+
+def test_capped_selection_against_visits(spark, duck):
+    import hashlib
+
+    servers, held, want = {}, {}, {}
+    for k, s in duck.execute("SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2").fetchall():
+        servers.setdefault(k, set()).add(s)
+    seen = set()
+    for k, c in sorted(duck.execute("SELECT o_orderkey, o_custkey FROM orders").fetchall(), key=lambda x: hashlib.sha256(f"select:{x[0]}".encode()).hexdigest()):
+        want[k] = c not in seen and all(held.get(s, 0) < 8 for s in servers.get(k, ()))
+        if want[k]:
+            seen.add(c)
+            for s in servers.get(k, ()):
+                held[s] = held.get(s, 0) + 1
+    assert {x.id: x.taken for x in registry.QUERIES["capped_selection"](spark, SF).collect()} == want
+
+
+def test_json_leaves_and_witnesses_on_odd_values(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import witness as W
+
+    rows = [(1, '{"a":[1,{"b":"x"}],"c":{},"d":null}'), (2, None), (3, "{"), (4, "7"), (5, "[true,1.5]")]
+    got = {tuple(x) for x in W.json_leaves(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()}
+    assert got == {(1, "$.a[0]", "1", "number"), (1, "$.a[1].b", "x", "string"), (1, "$.d", None, "null"), (4, "$", "7", "number"), (5, "$[0]", "true", "boolean"), (5, "$[1]", "1.5", "number")}
+    pairs = [(6, -4), (0, 5), (-9, 3), (7, 0), (None, 2), (2**40, 2**20)]
+    got = [None if x.q is None or x.q.num is None else tuple(x.q) for x in spark.createDataFrame(pairs, "a long, b long").select(W.reduced(F.col("a"), F.col("b")).alias("q")).collect()]
+    assert got == [(-3, 2), (0, 1), (-3, 1), None, None, (2**20, 1)]
+    text = spark.createDataFrame([("owes $1,200.5 and $3", "1200.50"), ("1200.50", "1200.50"), (None, "1"), ("$4 $04", "4")], "t string, a string")
+    assert [x[0] for x in text.select(W.amount_witness(F.col("t"), F.col("a").cast("decimal(20,2)"))).collect()] == ["$1,200.5", None, None, "$4"]
+    assert spark.createDataFrame([("9:05",), ("00:10",), (None,)], "t string").select(W.shifted_times(F.col("t"), F.lit(20)).alias("x")).collect() == [(None,), (["23:50", "00:30"],), (None,)]
