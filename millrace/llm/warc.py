@@ -1,11 +1,13 @@
 """WARC archives with dictionary-compressed records.
 
 Pages with equal payloads are found by their SHA-256: the page with the smallest id becomes a response, the others
-revisit it. Each task then builds a Zstandard dictionary from the records it archives, and compresses every record in
-a frame of its own. The rows of a partition are the frames of an archive: the dictionary in a leading skippable frame,
-then the records. Spark's text writer puts them into files, one a partition, with an empty skippable frame as the
-separator; so the files are plain sequences of Zstandard frames, and Spark's commit protocol keeps lost or repeated
-tasks from leaving partial archives, on any store that Spark can write.
+revisit it. Pages whose digest certainly does not repeat (a Bloom filter of bounded size tells) are archived where they
+are read; only the others shuffle. Each task builds a Zstandard dictionary from the first records it archives, and
+compresses every record in a frame of its own. A row is a block of such frames, and so many rows make an archive; the
+first of them begins with the dictionary in a skippable frame. Spark's text writer puts them into files with an empty
+skippable frame as the separator; so the files are plain sequences of Zstandard frames, each readable by itself and of
+bounded size, and Spark's commit protocol keeps lost or repeated tasks from leaving partial archives, on any store that
+Spark can write.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.runtime import ensure_checkpoint_dir
+from millrace.llm.exact_dedup import filter_bits, repeat_filter, with_may_repeat
+from millrace.runtime import cut, ensure_checkpoint_dir
 
 MIN_REVISIT_BYTES = 100
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_BYTES = 1 << 21  # of a partition's first records, from which its dictionary is built
+BLOCK_BYTES = 1 << 21  # a block is closed once its frames reach this
+ARCHIVE_BLOCKS = 64  # blocks an archive: 128 MB, but for records beyond a block's size
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # WARC-Date, where the caller has none: archives of equal pages are equal
 
@@ -74,48 +79,71 @@ def _dictionary(samples: list[bytes]) -> bytes:
     return b"".join(samples)[-size:] or b"\0"
 
 
-def _archive(date: str):
+def _archive(date: str, block_bytes: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[bytes] | None = []
-        held, compressor = 0, None
+        held, compressor, leading = 0, None, b""
+        block: list[bytes] = []
+        size = written = 0
 
-        def compressed(records: list[bytes]) -> pa.RecordBatch:
-            return pa.record_batch({"frame": pa.array([compressor.compress(x) for x in records], pa.binary())})
-
-        def begin() -> pa.RecordBatch:
-            nonlocal compressor
+        def begin() -> None:
+            nonlocal compressor, leading, waiting
             content = _dictionary(waiting)
             compressor = zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=True
             )
             packed = zstandard.ZstdCompressor(level=19).compress(content)
-            frame = struct.pack("<II", _DICTIONARY_FRAME, len(packed)) + packed
-            return pa.record_batch({"frame": pa.array([frame], pa.binary())})
+            leading = struct.pack("<II", _DICTIONARY_FRAME, len(packed)) + packed
+            waiting = None
+
+        def close() -> pa.RecordBatch:
+            nonlocal block, size, written
+            frames = block if written % blocks else [leading, *block]  # each archive has the dictionary
+            written, block, size = written + 1, [], 0
+            return pa.record_batch({"frame": pa.array([_SEPARATOR.join(frames)], pa.binary())})
+
+        def add(records: list[bytes]) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for record in records:
+                block.append(compressor.compress(record))
+                size += len(block[-1])
+                if size >= block_bytes:
+                    yield close()
 
         for batch in batches:
             records = []
-            for page_id, url, html, size, digest, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, length, digest, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
-                records.append(_record(page_id, url, payload, size, digest, refers_to, revisit, date))
+                records.append(_record(page_id, url, payload, length, digest, refers_to, revisit, date))
             if waiting is not None:
                 waiting += records
                 held += sum(map(len, records))
                 if held < SAMPLE_BYTES:
                     continue
-                records, first = waiting, begin()
-                yield first
-                waiting = None
-            yield compressed(records)
+                records = waiting
+                begin()
+            yield from add(records)
         if waiting:
-            first = begin()
-            yield first
-            yield compressed(waiting)
+            records = waiting
+            begin()
+            yield from add(records)
+        if block:
+            yield close()
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> None:
-    """Write a record for each page to archives in the folder ``path``, one a partition of the payloads by digest.
+def write_archives(
+    pages: DataFrame,
+    path: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    date: str = DATE,
+    block_bytes: int = BLOCK_BYTES,
+    blocks: int = ARCHIVE_BLOCKS,
+) -> None:
+    """Write a record for each page to archives in the folder ``path``, each of ``blocks`` blocks at most.
 
     A null html counts as empty, a null url becomes a URN; null ids sort last. Payloads below ``MIN_REVISIT_BYTES`` are
     all responses. Rows that repeat the smallest id of their payload are responses like it. An empty table writes no
@@ -124,16 +152,24 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")
     ).withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    keys = cut(rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("page_id", "digest"))
+    bits = filter_bits(keys.count())
+    bitmaps = cut(repeat_filter(keys, "digest", bits))
     firsts = (
-        rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES)
+        with_may_repeat(keys, "digest", bitmaps, bits, "may_repeat")
+        .where("may_repeat")
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
         .where("copies > 1")
         .drop("copies")
     )
+    firsts = cut(firsts)  # so that the next join has exchanges of its own, of which Spark splits a hot payload's
+    tested = with_may_repeat(rows, "digest", bitmaps, bits, "may_repeat")
+    single = tested.where(~F.col("may_repeat")).withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+    repeated = tested.where("may_repeat").join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     (
-        rows.join(firsts, "digest", "left")
+        single.unionByName(repeated)
         .select(
             "page_id",
             "url",
@@ -143,9 +179,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             F.col("first").cast("string").alias("refers_to"),
             revisit.alias("revisit"),
         )
-        .mapInArrow(_archive(date), "frame binary")
+        .mapInArrow(_archive(date, block_bytes, blocks), "frame binary")
         .select(F.col("frame").cast("string").alias("value"))
         .write.option("lineSep", SEPARATOR)
+        .option("maxRecordsPerFile", blocks)
         .text(path)
     )
 

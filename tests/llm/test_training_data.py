@@ -388,6 +388,19 @@ def test_no_copies_of_nothing(empty):
 # 7 -------------------------------------------------------------------------------------------------------------
 
 
+def test_archives_roll_and_are_readable_alone(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", f"<p>{i % 40} " + "words of the page " * (i % 40 + 6)) for i in range(200)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_archives(table.coalesce(1), str(tmp_path / "a"), block_bytes=300, blocks=3)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 4 and max(f.stat().st_size for f in files) < max(len(p[2]) for p in pages) * 3 + 70_000
+    seen = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert {int(x.page_id): x.record_type for x in seen} == {i: "response" if i < 40 else "revisit" for i in range(200)}
+    assert {int(x.page_id): x.refers_to for x in seen if x.record_type == "revisit"} == {i: str(i % 40) for i in range(40, 200)}
+    alone = warc.read_archives(spark, str(files[-1])).collect()
+    assert alone and all(x.html == pages[int(x.page_id)][2] for x in alone if x.record_type == "response")
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "<p>" + "payload " * 40 + "</p>"
     pages = [(5, "http://a/ä b", big), (3, None, big), (9, "http://c", None), (2, "http://d", ""), (7, "http://e", "<p>small</p>"), (8, "http://f", "<p>small</p>"), (None, "http://g", big), (4, "http://h", "\x28\xb5\x2f\xfd ünï " * 50), (1, "http://i", "P*M\x18\0\0\0\0" * 40)]
