@@ -20,6 +20,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,11 @@ def _archive(date: str, block_bytes: int, blocks: int):
             records = waiting
             begin()
             yield from add(records)
-        if block:
+        if not (block or written or TaskContext.get().partitionId()):
+            waiting = []
+            begin()  # Spark writes a first file in any case
+            yield close()
+        elif block:
             yield close()
 
     return run
@@ -146,8 +151,8 @@ def write_archives(
     """Write a record for each page to archives in the folder ``path``, each of ``blocks`` blocks at most.
 
     A null html counts as empty, a null url becomes a URN; null ids sort last. Payloads below ``MIN_REVISIT_BYTES`` are
-    all responses. Rows that repeat the smallest id of their payload are responses like it. An empty table writes no
-    archive. Other columns are ignored, whatever their names.
+    all responses. Rows that repeat the smallest id of their payload are responses like it. An empty table writes
+    one archive without records. Other columns are ignored, whatever their names.
     """
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")
