@@ -23,6 +23,7 @@ DEPTH = 2
 MIN_DOCS = 10
 MIN_TOKENS = 3
 MIN_FIXED = 0.6  # share of a template's tokens that must be fixed
+STATE_ROWS = 100_000  # rows of the smaller states that a partition holds about
 VARIABLE = "<*>"
 _BLANKS = r"[ \t\x0B\f\r]+"
 
@@ -59,7 +60,9 @@ def recurring_lines(rows: DataFrame, min_docs: int, min_fixed: float) -> tuple[D
         narrow.select("m1", "m2", "leaf", "doc").distinct().groupBy("m1", "m2", "leaf").agg(F.count("*").alias("docs"))
     )
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
-    wanted = cut(distinct.join(leaves.select("leaf"), "leaf", "left_semi"))
+    # The keyed side of a join is materialised before it: both sides then have exchanges of their own, of which Spark
+    # splits those of a hot leaf, token or line.
+    wanted = cut(distinct.join(cut(leaves.select("leaf"), STATE_ROWS), "leaf", "left_semi"))
     bits = filter_bits(wanted.count())
     bitmaps = cut(membership_filter(wanted, "m1", bits))
     spelled = with_may_repeat(_lines(rows).select("m1", "m2", "masked"), "m1", bitmaps, bits, "wanted").where("wanted")
@@ -68,7 +71,8 @@ def recurring_lines(rows: DataFrame, min_docs: int, min_fixed: float) -> tuple[D
     fixed = (
         tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
     )
-    marked = tokens.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
+    fixed = cut(fixed.withColumn("fixed", F.lit(True)), STATE_ROWS)
+    marked = tokens.join(fixed, ["leaf", "place", "token"], "left")
     shown = F.when(F.col("fixed") & (F.col("token") != VARIABLE), F.col("token")).otherwise(VARIABLE)
     templates = (
         marked.groupBy("m1", "m2")
@@ -77,7 +81,7 @@ def recurring_lines(rows: DataFrame, min_docs: int, min_fixed: float) -> tuple[D
         .where(F.size(F.filter("t", lambda x: x != VARIABLE)) >= min_fixed * F.size("t"))
         .select("m1", "m2", F.array_join("t", " ").alias("template"))
     )
-    templates = cut(templates)
+    templates = cut(templates, STATE_ROWS)
     counted = (
         narrow.select("m1", "m2", "doc")
         .join(templates, ["m1", "m2"])
@@ -104,7 +108,8 @@ def drop_recurring_lines(
         F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(F.col(doc_id), content).alias("doc")
     )
     narrow, recurring = recurring_lines(rows.select("doc", "text"), min_docs, min_fixed)
-    dropped = narrow.join(recurring.select("m1", "m2"), ["m1", "m2"]).groupBy("doc").agg(F.collect_set("at").alias("gone"))
+    recurring = cut(recurring.select("m1", "m2"), STATE_ROWS)
+    dropped = narrow.join(recurring, ["m1", "m2"]).groupBy("doc").agg(F.collect_set("at").alias("gone"))
     dropped = cut(dropped)  # at most the lines of a document
     bits = filter_bits(dropped.count())
     bitmaps = cut(membership_filter(dropped, "doc", bits))
