@@ -1,10 +1,14 @@
-"""Text functions as Catalyst expressions."""
+"""Text functions as columns."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = re.compile(r"\w+")  # [\p{L}\p{N}_]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,13 +28,18 @@ def let(value: Column, body) -> Column:
 
 
 def word_shingles(text: Column, size: int = 3) -> Column:
-    """Distinct ``size``-word shingles of the lower-cased letters, digits and underscores; empty when too short."""
+    """Distinct ``size``-word shingles of the lower-cased letters, digits and underscores; empty when too short or null.
+
+    Batches of whole texts go to Python by Arrow: built-in functions would need lambdas within lambdas, which are
+    interpreted for each word.
+    """
 
-    def windows(words: Column) -> Column:
-        # Elements are fetched one by one: slice() copies the whole array on each call.
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
-        at = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])
-        shingles = F.array_distinct(F.transform(starts, at))
-        return F.when(F.size(words) >= size, shingles).otherwise(F.array().cast("array<string>"))
+    @F.arrow_udf("array<string>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        out = []
+        for one in texts:
+            words = WORD.findall((one.as_py() or "").lower())
+            out.append(list(dict.fromkeys(map(" ".join, zip(*(words[i:] for i in range(size)))))))
+        return pa.array(out, pa.list_(pa.string()))
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), windows)
+    return shingles(text)

@@ -34,7 +34,7 @@ def average_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, members, vector): the mean of aligned vectors of each key; a null vector counts as a member with no entry."""
     members = rows.groupBy(key).agg(F.count("*").alias("members"))
     each = rows.select(key, F.posexplode(vector).alias("at", "p")).groupBy(key, "at").agg(F.avg("p").alias("p"))
-    means = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("x"))  # one vector a key
+    means = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("x"))  # one vector a key
     return members.join(means, key, "left").select(key, "members", F.col("x")["p"].alias(vector))
 
 
@@ -80,7 +80,7 @@ def fill_quota(groups: DataFrame, pool: str, order: list[Column], size: str, cap
 
 def pairwise_overlap(sets: DataFrame, name: str, key: str) -> DataFrame:
     """(first, second, common) of every two named sets that share a key. Names must be few: a key lists its own."""
-    named = sets.select(name, key).distinct().groupBy(key).agg(F.array_sort(F.collect_set(name)).alias("names"))
+    named = sets.select(name, key).distinct().groupBy(key).agg(F.sort_array(F.collect_set(name)).alias("names"))
     listed = named.groupBy("names").agg(F.count("*").alias("n")).where(F.size("names") > 1)
     pairs = F.flatten(
         F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("first"), b.alias("second"))))

@@ -34,7 +34,7 @@ def discounted_advantages(steps: DataFrame, by: str, order: str, reward: str, va
 
     Rows of equal order go by reward, then value.
     """
-    rows = steps.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(reward).cast("double").alias("r"), F.col(value).cast("double").alias("v")))).alias("x"))
+    rows = steps.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(reward).cast("double").alias("r"), F.col(value).cast("double").alias("v")))).alias("x"))
     start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("adv"), F.array().cast("array<double>").alias("out"))
 
     def back(a: Column, x: Column) -> Column:
@@ -118,7 +118,7 @@ def state_machine(events: DataFrame, by: str, order: list[str], event: str, init
             yield x.append_column("block", pa.array([block] * x.num_rows, pa.int32()))
 
     maps = blocks.mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, to array<int>, block int")
-    lists = maps.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "to"))).alias("x"))  # one map a block
+    lists = maps.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("block", "to"))).alias("x"))  # one map a block
     last = F.aggregate("x", F.lit(at[initial]), lambda s, x: F.get(x["to"], s))
     return lists.select(F.col("k").alias(by), F.get(F.array(*map(F.lit, names)), last).alias("state"))
 

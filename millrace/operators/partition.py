@@ -84,7 +84,7 @@ def resolve_conflicts(rows: DataFrame, key: list[str], target: str, order: str)
 def consolidate(rows: DataFrame, key: list[str], choice: str, lineage: str) -> DataFrame:
     """One row per key and its lineage (sorted, distinct); keys with conflicting choices are dropped."""
     merged = rows.groupBy(*key).agg(
-        F.count_distinct(choice).alias("choices"), F.min(choice).alias(choice), F.array_sort(F.collect_set(lineage)).alias(lineage)
+        F.count_distinct(choice).alias("choices"), F.min(choice).alias(choice), F.sort_array(F.collect_set(lineage)).alias(lineage)
     )
     return merged.where("choices = 1").drop("choices")
 

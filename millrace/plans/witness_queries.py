@@ -161,7 +161,7 @@ def task_vocabularies(spark, sf_dir):
 def legacy_keys(spark, sf_dir):
     one = lambda name: table(spark, sf_dir, name).select(F.lit(name).alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
     keys = one("documents").unionByName(one("benchmark")).unionByName(one("conversations"))
-    seen = keys.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"), F.count("*").alias("rows"))  # three kinds
+    seen = keys.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"), F.count("*").alias("rows"))  # three kinds
     return seen.groupBy("kinds").agg(F.count("*").alias("keys"), F.sum("rows").alias("rows"))
 
 
