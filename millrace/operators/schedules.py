@@ -6,11 +6,15 @@ rows, repeated rows count as often as they occur unless a docstring says otherwi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.runtime import cut
 
+OPEN_ROWS = 100_000  # links that a partition of the open state holds about
+
 
 def seeded(seed: str, *parts: str | Column) -> Column:
     """The digest that orders rows: seed and parts joined by colons; a null part counts as empty."""
@@ -45,19 +49,24 @@ def capped_greedy(rows: DataFrame, members: DataFrame, cap: int, cap_of: DataFra
     ``rows`` has (id, rank), ids and ranks unique; ``members`` (id, group), repeats counting once; ``cap_of`` (group, cap)
     overrides the cap of single groups. A row in no group is taken. Instead of one visit after another, each round decides
     all rows whose groups are full (left out) or cannot fill up before them (taken); the first open row is always
-    decided, so rounds end. A group's rows pass one sorted window, which spills.
+    decided, so rounds end, and decided rows leave the state. A group's open rows pass one sorted window, which spills.
     """
+    # Room counts rows taken later in rank too: those were taken only where every open row before them had its room left.
     links = members.distinct().join(rows, "id")
-    links = links.withColumn("cap", F.lit(cap)) if cap_of is None else links.join(cap_of, "group", "left").withColumn("cap", F.coalesce("cap", F.lit(cap)))
-    links = cut(links.withColumn("state", F.lit(0)))  # 0 open, 1 taken, -1 left out
+    room = F.lit(cap) if cap_of is None else F.coalesce("cap", F.lit(cap))
+    links = links if cap_of is None else links.join(cap_of, "group", "left")
+    links, decided = cut(links.select("id", "group", "rank", room.cast("long").alias("room"))), []  # links of open rows
     before = Window.partitionBy("group").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    while links.where("state = 0").take(1):
-        seen = links.withColumns({"had": F.coalesce(F.sum(F.when(F.col("state") == 1, 1)).over(before), F.lit(0)), "open": F.coalesce(F.sum(F.when(F.col("state") == 0, 1)).over(before), F.lit(0))})
-        verdict = seen.where("state = 0").groupBy("id").agg(F.bool_or(F.col("had") >= F.col("cap")).alias("full"), F.bool_and(F.col("had") + F.col("open") < F.col("cap")).alias("free"))
-        now = verdict.select("id", F.when(F.col("full"), -1).when(F.col("free"), 1).otherwise(0).alias("now"))
-        links = cut(links.join(cut(now), "id", "left").withColumn("state", F.coalesce("now", "state")).drop("now"))
-    decided = links.groupBy("id").agg((F.min("state") == 1).alias("taken"))
-    return rows.select("id").join(decided, "id", "left").select("id", F.coalesce("taken", F.lit(True)).alias("taken"))
+    while links.take(1):
+        seen = links.withColumn("ahead", F.count("*").over(before))
+        verdict = seen.groupBy("id").agg(F.bool_or(F.col("room") <= 0).alias("full"), F.bool_and(F.col("ahead") < F.col("room")).alias("free"))
+        decided.append(cut(verdict.where("full or free").select("id", (~F.col("full")).alias("taken")), OPEN_ROWS))
+        used = links.join(decided[-1].where("taken"), "id", "left_semi").groupBy("group").agg(F.count("*").alias("used"))
+        still = links.join(decided[-1], "id", "left_anti").join(used, "group", "left")
+        links = cut(still.select("id", "group", "rank", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), OPEN_ROWS)
+    none = rows.select("id", F.lit(True).alias("taken")).limit(0)
+    known = reduce(DataFrame.unionByName, decided, none)
+    return rows.select("id").join(known, "id", "left").select("id", F.coalesce("taken", F.lit(True)).alias("taken"))
 
 
 def round_robin(rows: DataFrame, key: str, group: str, seed: str, required: int, visits: int = 1) -> DataFrame:
