@@ -25,6 +25,18 @@ def test_shingles_short_and_null(spark):
     assert [r[0] for r in rows] == [[], ["a b c", "b c a", "c a b"], [], []]
 
 
+def test_shingles_and_signatures_of_odd_texts(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, "\u00dcn\u00ef_1-x ZWEI\u00a03, \u4e8c"), (2, None), (3, "a b"), (4, long), (5, "x x x x")], "id long, t string")
+    shingles = word_shingles(F.col("t"))
+    got = {r.id: r.s for r in docs.select("id", shingles.alias("s")).collect()}
+    assert got[1] == ["\u00fcn\u00ef_1 x zwei", "x zwei 3", "zwei 3 \u4e8c"] and got[2] == got[3] == [] and got[5] == ["x x x"]
+    assert len(got[4]) == 19_998
+    signed = docs.select("id", minhash_signature(shingles, 2).alias("s")).where("s is not null")
+    assert {r.id for r in signed.collect()} == {1, 4, 5}
+    assert docs.limit(0).select(minhash_signature(shingles, 2)).collect() == []
+
+
 def test_signature_is_the_salted_minimum(spark):
     got = spark.createDataFrame([("one two three four",)], "t string").select(minhash_signature(word_shingles(F.col("t")), 3, 5)).first()[0]
     items = [json.dumps(x).encode() for x in (["one", "two", "three"], ["two", "three", "four"])]
