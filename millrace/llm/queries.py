@@ -9,9 +9,12 @@ from millrace.llm.bpe import round_trip_digests
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.langid import predict_languages
+from millrace.llm.licences import licence_labels, scan_licences
 from millrace.llm.line_templates import drop_recurring_lines
+from millrace.llm.merkle import manifest_digests
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.periodic_runs import periodic_runs, run_digests, with_repeated_tails
 from millrace.llm.pii import find_personal_data
 from millrace.llm.sentence_spans import drop_repeated_spans
 from millrace.llm.warc import archive_round_trip
@@ -147,6 +150,21 @@ def op5(spark, sf_dir):
     return drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
+@_query("op11_merkle_manifest")
+def op11(spark, sf_dir):
+    return manifest_digests(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_licence_scan")
+def op12(spark, sf_dir):
+    return licence_labels(scan_licences(table(spark, sf_dir, "documents")))
+
+
+@_query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return run_digests(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
