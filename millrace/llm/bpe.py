@@ -72,6 +72,7 @@ class Codec:
             self.token_bytes[i] = token.encode()
         self.decimal = [str(i) for i in range(size)]
         self._split = regex.compile(SPLIT)
+        self._inner = [chr(c) + " " for c in range(0x3001) if regex.fullmatch(f"[{_SPACE}]", chr(c))]
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._lexicon = lexicon
         never = len(self.made)
@@ -202,12 +203,12 @@ class Codec:
     def _cut(self, text: str) -> list[str]:
         """Units of a text without special tokens, whose ids do not depend on each other.
 
-        Splitting before each single blank never cuts a pre-token: no pre-token holds a blank after another
-        character, unless blanks follow each other or end the text. Those texts take the split pattern as a whole.
+        Splitting before each blank after another character never cuts a pre-token, unless that one is white space: then
+        both may be of one pre-token. Texts with such a blank, or one at their end, take the split pattern as a whole.
         """
         if not text:
             return []
-        if "  " in text or text[-1] == " ":
+        if text[-1] == " " or any(x in text for x in self._inner):
             return self._split.findall(text)
         first, *rest = text.split(" ")
         return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]

@@ -1,6 +1,7 @@
 """The training-data operators against SQL, brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -308,7 +309,7 @@ def test_ids_equal_the_librarys(request, reference_encoder, which):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab eé\n\t 'sll9,<|endoftext>　✨ "), max_size=60))
+@given(st.text(alphabet=st.sampled_from("ab eé\n\t\xa0 'sll9,<|endoftext>　✨ "), max_size=60))
 def test_codec_equals_the_library(text):
     codec = test_codec_equals_the_library.__dict__.setdefault("codec", bpe.Codec(open(TOKENIZER, encoding="utf-8").read()))
     library = test_codec_equals_the_library.__dict__.setdefault("library", Tokenizer.from_file(TOKENIZER))
@@ -317,6 +318,17 @@ def test_codec_equals_the_library(text):
     assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_run_of_white_space(reference_encoder):
+    codec = bpe.Codec(open(TOKENIZER, encoding="utf-8").read())
+    space = " \xa0\n\t\r\u3000\u2009"
+    runs = ["".join(x) for n in range(1, 6) for x in itertools.product(space, repeat=n)]
+    for around in ("a{}b", "{}b", "a{}", "{}", "a{}1 b", "a {}b"):
+        texts = [around.format(x) for x in runs]
+        wanted = reference_encoder.encode_batch(texts, add_special_tokens=False)
+        got = codec.encode_many(texts)
+        assert [t for t, a, b in zip(texts, got, wanted, strict=True) if a.tolist() != b.ids] == []
+
+
 def test_decoding_gives_the_texts_back(docs):
     encoded = bpe.encode_documents(docs, TOKENIZER)
     assert {r.doc_id: r.text for r in bpe.decode_documents(encoded, TOKENIZER).collect()} == {r.doc_id: r.text or "" for r in docs.collect()}
