@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -43,3 +44,60 @@ def word_shingles(text: Column, size: int = 3) -> Column:
         return pa.array(out, pa.list_(pa.string()))
 
     return shingles(text)
+
+
+def nfkc_casefold(text: Column) -> Column:
+    """Unicode compatibility form (NFKC) with case folded; null stays null.
+
+    Spark has neither: its ``lower`` leaves the sharp s, ligatures and raised digits. Whole texts go to Python by Arrow.
+    """
+
+    @F.arrow_udf("string")
+    def folded(texts: pa.Array) -> pa.Array:
+        out = [None if x is None else x if x.isascii() and x.islower() else unicodedata.normalize("NFKC", x).casefold() for x in texts.to_pylist()]
+        return pa.array(out, pa.string())
+
+    return folded(text)
+
+
+def folded_words(text: Column) -> Column:
+    """The words (letters, digits, underscores) of the folded text, joined by single blanks; null stays null."""
+
+    @F.arrow_udf("string")
+    def words(texts: pa.Array) -> pa.Array:
+        out = [None if x is None else " ".join(WORD.findall(unicodedata.normalize("NFKC", x).casefold())) for x in texts.to_pylist()]
+        return pa.array(out, pa.string())
+
+    return words(text)
+
+
+# The words that begin and end a passage which several questions may share.
+SPAN_STARTS = ("passage", "paragraph", "context", "article", "review", "document", "premise", r"sentence(?:\s+(?:1|one))?", r"text(?:\s+(?:1|one))?")
+SPAN_ENDS = ("question", "answer", "candidate", "hypothesis", r"sentence\s+(?:2|two)", r"text\s+(?:2|two)", "option", "label", "title", "category", "response")
+SPAN_CHARS, SPAN_WORDS = 80, 12
+
+
+def marked_spans(text: Column, starts=SPAN_STARTS, ends=SPAN_ENDS, chars: int = SPAN_CHARS, words: int = SPAN_WORDS) -> Column:
+    """The distinct marked passages of a text as folded words, those of at least ``chars`` characters and ``words`` words.
+
+    A passage begins after a start word with a colon, an equals sign or a hyphen, at the text's or a line's start or after
+    a full stop and white space, and ends before an end word so marked that follows a line end or two white spaces, else
+    with the text. A passage that begins within another counts as well. Empty for null.
+    """
+    begin = re.compile(rf"(?:^|\n|(?<=\.)\s+)(?:{'|'.join(starts)})\s*[:=\-]\s*", re.IGNORECASE)
+    stop = re.compile(rf"(?:\n|\s{{2,}})(?:{'|'.join(ends)})\s*[:=\-]", re.IGNORECASE)
+
+    @F.arrow_udf("array<string>")
+    def spans(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            found: dict[str, None] = {}
+            for m in begin.finditer(x or ""):
+                last = stop.search(x, m.end())
+                span = " ".join(WORD.findall(unicodedata.normalize("NFKC", x[m.end() : last.start() if last else None]).casefold()))
+                if len(span) >= chars and span.count(" ") + 1 >= words:
+                    found[span] = None
+            out.append(list(found))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return spans(text)
