@@ -303,15 +303,23 @@ _VALUE_TYPES = (
 def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "schema_id", *[x.split(" ")[0] for x in _VALUE.split(", ")]]
     for batch in batches:
-        for k in range(batch.num_rows):
-            text = batch.column(2)[k].as_py()
+        found: list[tuple] = []
+        ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for row, schema_id, text in zip(*ids, strict=True):
             try:
-                rows = list(_values(_loads(text)))
+                found += [(row, schema_id, *x) for x in list(_values(_loads(text)))]
             except (ValueError, TypeError, RecursionError, OverflowError):
                 continue  # no root value: the instance is invalid
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _VALUE_TYPES, strict=True)]
-            same = [pa.array(batch.column(i).slice(k, 1).to_pylist() * len(rows), batch.schema.field(i).type) for i in (0, 1)]
-            yield pa.record_batch([*same, *columns], names)
+            if len(found) >= 50_000:
+                yield _batch(found, batch.schema, names)
+                found = []
+        if found:
+            yield _batch(found, batch.schema, names)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    kinds = (schema.field(0).type, schema.field(1).type, *_VALUE_TYPES)
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _kept(rule: Column, v: Column) -> Column:

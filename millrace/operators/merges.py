@@ -98,8 +98,8 @@ def owned_servers(records: DataFrame, aliases: DataFrame, priorities: DataFrame)
     Rounds end when none is added; a server blocked for both reasons in a round has the lesser one.
     """
     spark = records.sparkSession
-    blocked = spark.createDataFrame([], "server long, reason string")
     kind = priorities.schema["server"].dataType
+    blocked = spark.createDataFrame([], f"server {kind.simpleString()}, reason string")
     records, aliases = cut(records.distinct()), cut(aliases.distinct())
     ranked = cut(priorities)
 
@@ -108,7 +108,7 @@ def owned_servers(records: DataFrame, aliases: DataFrame, priorities: DataFrame)
         return members.join(cut(best), key).where("priority < best").select("server", F.lit(reason).alias("reason"))
 
     while True:
-        out = blocked.select(F.col("server").cast(kind).alias("server")).distinct()
+        out = blocked.select("server").distinct()
         alive = ranked.join(out, "server", "left_anti")
         under_alias = aliases.join(alive, "server")
         marked = records.join(ranked, "server").join(out.withColumn("out", F.lit(1)), "server", "left")

@@ -74,13 +74,22 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.int32())
     names = [x.split(" ")[0] for x in _NODE.split(", ")]
     for batch in batches:
-        for k in range(batch.num_rows):
+        found: list[tuple] = []
+        kept = (batch.schema.field(0).type, *kinds)
+
+        def handed_on(rows, kept=kept):
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kept, strict=True)], ["row", *names])
+
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                rows = list(_nodes(_source(batch.column(1)[k].as_py())))
+                found += [(row, *x) for x in list(_nodes(_source(text)))]
             except (ValueError, TypeError, RecursionError):
                 continue
-            own = pa.array(batch.column(0).slice(k, 1).to_pylist() * len(rows), batch.schema.field(0).type)
-            yield pa.record_batch([own, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", *names])
+            if len(found) >= 50_000:
+                yield handed_on(found)
+                found = []
+        if found:
+            yield handed_on(found)
 
 
 def shared_entries(rows: DataFrame, row: str, text: str) -> DataFrame:

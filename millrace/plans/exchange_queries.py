@@ -45,7 +45,7 @@ def schema_violations(spark, sf_dir):
 def _memberships(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     groups = F.array(F.concat(F.lit("brand "), "p_brand"), F.concat(F.lit("size "), (F.col("p_size") % 10).cast("string")))
-    return part.select("p_partkey", F.explode(groups).alias("group"), F.col("p_size").alias("request"))
+    return part.select("p_partkey", F.explode(groups).alias("group"))
 
 
 @query("overlapping_rotation")
@@ -54,12 +54,6 @@ def overlapping_rotation(spark, sf_dir):
     return rotations.rotating_groups(_memberships(spark, sf_dir), "p_partkey", "group", "rotate", 80, visits=2)
 
 
-@query("request_capped_rotation")
-def request_capped_rotation(spark, sf_dir):
-    """A schedule of 60 places, no part more than once and no size of part more than twice, over all groups."""
-    return rotations.rotating_groups(_memberships(spark, sf_dir), "p_partkey", "group", "requests", 60, shared={"request": 2})
-
-
 _REPORTS = [0.1, 0.5, 0.9]
 _POLICY = """c AS (SELECT p_partkey AS id, (p_partkey % 3 = 0)::INT AS y, [0.01 * (p_size % 7), 0.02, 0.01 * (p_partkey % 5)] AS costs, p_size AS s FROM part),
     w AS (SELECT id, m, [1 + (s + m + i) % 5 FOR i IN range(0, 3)] AS stop, [CASE WHEN m >> b & 1 = 1 THEN 0 ELSE (s + 3 * m + 5 * b) % 4 END FOR b IN range(0, 3)] AS buy FROM c, range(0, 8) q(m)),

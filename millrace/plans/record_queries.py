@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import records as R
+from millrace.functions.text import let
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -37,7 +38,7 @@ _SOFT = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DO
 @query("distribution_scores", _SOFT + " SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, round(list_sum(list_transform(p, lambda x: abs(x - 1.0::DOUBLE / len(p)))) / 2, 6) AS from_uniform FROM p")
 def distribution_scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("e"))
-    p = e.select("vec_id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    p = e.select("vec_id", let(F.aggregate("e", F.lit(0.0), lambda a, y: a + y), lambda total: F.transform("e", lambda x: x / total)).alias("p"))
     ok = p.where(R.valid_distribution(F.col("p"))).withColumn("uniform", F.transform("p", lambda x: F.lit(1.0) / F.size("p")))
     return ok.select("vec_id", F.round(R.entropy(F.col("p")), 6).alias("entropy"), F.round(R.total_variation(F.col("p"), F.col("uniform")), 6).alias("from_uniform"))
 

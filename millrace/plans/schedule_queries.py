@@ -81,11 +81,12 @@ def coverage_receipts(spark, sf_dir):
 
 @query(
     "design_block",
-    """SELECT task, fee, condition, repeat, sha256('block:' || task || ':' || fee || ':' || condition || ':' || repeat) AS position FROM (VALUES ('refund', 2), ('exchange', 4), ('cancel', 2)) t(task, k),
-    range(0, 3) f(fee), range(0, k) c(condition), range(0, 8 // k) r(repeat)""",
+    """WITH t AS (SELECT p_type AS task, CASE WHEN min(p_size) % 2 = 0 THEN 2 ELSE 4 END AS k FROM part GROUP BY 1)
+    SELECT task, fee, condition, repeat, sha256('block:' || task || ':' || fee || ':' || condition || ':' || repeat) AS position FROM t, range(0, 3) f(fee), range(0, k) c(condition), range(0, 8 // k) r(repeat)""",
 )
 def design_block(spark, sf_dir):
-    tasks = spark.createDataFrame([("refund", 2), ("exchange", 4), ("cancel", 2)], "task string, k int")
+    """Every type of part with each fee and condition, eight places a fee however many conditions the type has."""
+    tasks = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("task")).agg(F.when(F.min("p_size") % 2 == 0, 2).otherwise(4).alias("k"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     block = tasks.withColumn("fee", upto(F.lit(3))).withColumn("condition", upto(F.col("k"))).withColumn("repeat", upto(F.expr("int(8 div k)")))
     return block.select("task", "fee", "condition", "repeat", S.seeded("block", "task", "fee", "condition", "repeat").alias("position"))
