@@ -30,7 +30,6 @@ ALL_KINDS = (*KINDS, "secret")
 MIN_CONFIDENCE = 0.8
 MIN_SUPPORT = 3  # distinct labelled instances that a pattern must have
 DOUBT = 0.5  # instances against a pattern that are always reckoned with
-ROUNDS = 20  # at most; they end when nothing is added
 NEAR_CHARS = 32  # of a context word, the characters nearest to the instance that belong to a pattern
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -256,7 +255,6 @@ def bootstrap(
     edges: DataFrame,
     facts: DataFrame,
     seeds: DataFrame,
-    rounds: int = ROUNDS,
     min_confidence: float = MIN_CONFIDENCE,
     min_support: int = MIN_SUPPORT,
 ) -> DataFrame:
@@ -266,13 +264,14 @@ def bootstrap(
     distinct (instance, kind) rows. A pattern's confidence in a kind is s / (s + against + DOUBT): s adds up the scores of
     its labelled instances, ``against`` counts its other instances but for unlabelled ones of a form that the kind has.
     An instance's score combines the confidences of its trusted patterns; it never gets a kind whose check it failed.
-    Only aggregates and edges travel; no pattern or instance is gathered in one place.
+    Only aggregates and edges travel; no pattern or instance is gathered in one place. Rounds end when the discovered
+    instances with their kinds are none, or those of an earlier round.
     """
     sizes = cut(edges.groupBy("pattern").agg(F.count("*").alias("size")))
     own = cut(seeds.select("instance", "kind", F.lit(1.0).alias("score")))
     seeded = seeds.select("instance").distinct()
-    known, found, labels = -1, None, own
-    for _ in range(rounds):
+    seen, found, labels = set(), None, own
+    while True:
         forms = labels.join(facts, "instance").select("kind", "form").distinct()
         open_ones = facts.join(labels.select("instance").distinct(), "instance", "left_anti").join(forms, "form")
         open_ones = open_ones.where("failed is null or failed <> kind").select("instance", "kind")
@@ -302,10 +301,10 @@ def bootstrap(
         )
         best = F.max(F.struct("score", "kind")).alias("best")  # ties: the kind that sorts last
         found = cut(scored.groupBy("instance").agg(best).select("instance", "best.kind", "best.score"))
-        count = found.count()
-        if count in (0, known):
+        mark = found.agg(F.count("*"), F.sum(F.xxhash64("instance", "kind").cast("decimal(38,0)"))).first()
+        if not mark[0] or mark in seen:
             break
-        known = count
+        seen.add(mark)
         labels = own.unionByName(found)
     return found
 
@@ -314,7 +313,6 @@ def find_personal_data(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    rounds: int = ROUNDS,
     min_confidence: float = MIN_CONFIDENCE,
     min_support: int = MIN_SUPPORT,
 ) -> DataFrame:
@@ -333,7 +331,7 @@ def find_personal_data(
     edges = cut(each.select(F.explode("o.patterns").alias("pattern"), F.col("o.instance").alias("instance")).distinct())
     facts = cut(each.select("o.instance", "o.form", "o.failed").distinct())
     seeds = cut(each.where("o.kind is not null").select("o.instance", "o.kind").distinct())
-    found = bootstrap(edges, facts, seeds, rounds, min_confidence, min_support)
+    found = bootstrap(edges, facts, seeds, min_confidence, min_support)
     span = lambda k, o: F.struct(k.alias("kind"), o["start"].alias("start"), o["end"].alias("end"))
     new = (
         each.where("o.kind is null")

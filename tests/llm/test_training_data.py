@@ -537,8 +537,8 @@ def plain_bootstrap(found):
         of[p].add(i)
     shape, failed = ({o["instance"]: o[x] for o in found} for x in ("form", "failed"))
     seeds = {(o["instance"], o["kind"]) for o in found if o["kind"]}
-    seeded, discovered, trusted = {i for i, _ in seeds}, {}, {}
-    for _ in range(pii.ROUNDS):
+    seeded, discovered, seen = {i for i, _ in seeds}, {}, []
+    while True:
         labels = {**{x: 1.0 for x in seeds}, **{(i, k): s for i, (s, k) in discovered.items()}}
         known = {i for i, _ in labels}
         trusted = {}
@@ -558,10 +558,11 @@ def plain_bootstrap(found):
         after = {}
         for (i, kind), d in doubt.items():
             after[i] = max(after.get(i, (0, "")), (round(1 - d, 12), kind))
-        if len(after) in (0, len(discovered)):
-            return {i: k for i, (_, k) in after.items()}, trusted
+        kinds = {i: k for i, (_, k) in after.items()}
+        if not kinds or kinds in seen:
+            return kinds, trusted
+        seen.append(kinds)
         discovered = after
-    return {i: k for i, (_, k) in discovered.items()}, trusted
 
 
 def test_rounds_against_plain_python(spark, docs):
