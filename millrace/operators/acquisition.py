@@ -7,12 +7,15 @@ with an entry a subset, so every path counts with its exact weight and none is s
 
 from __future__ import annotations
 
+import hashlib
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
+from millrace.operators.ordinals import numbered
 
 
 def lattice_mass(buy: Column, bits: int) -> Column:
@@ -93,3 +96,51 @@ def integrate_paths(cases: DataFrame, policies: DataFrame, reports: list[float],
     ).withColumn("reward", 1 - F.col("brier") - F.col("spent"))
     values = ["mass", "brier", "spent", "purchases", "duplicate", "terminal_mean", "reward"]
     return out.select(case_id, "valid", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in values])
+
+
+def adaptive_places(rows: int, seed: str, n: int, share: Fraction, weight: Fraction) -> list[tuple[int, int, int, Fraction]]:
+    """(pick, remaining, rank, probability) of ``n`` draws without replacement from rows ranked from 1 on.
+
+    Each draw is from a mixture: ``weight`` is spread over the first ``share`` of the rows that remain (rounded up), the
+    rest over all of them. Draws are seeded numbers below 2**64 and compared exactly, so receipts are fractions.
+    """
+    if n > rows:
+        raise ValueError("fewer rows than picks")
+    taken: list[int] = []  # ranks, ascending
+    out = []
+    for t in range(n):
+        left = rows - t
+        top = max(1, -(-share.numerator * left // share.denominator))
+        low = (1 - weight) / left
+        high = low + weight / top
+        u = Fraction(int(hashlib.sha256(f"{seed}:pick:{t}".encode()).hexdigest()[:16], 16), 1 << 64)
+        at = u // high if u < top * high else top + (u - top * high) // low
+        rank = min(int(at), left - 1) + 1
+        for gone in taken:  # the ranks of what has left are skipped
+            rank += gone <= rank
+        taken = sorted([*taken, rank])
+        out.append((t + 1, left, rank, high if at < top else low))
+    return out
+
+
+def adaptive_picks(
+    rows: DataFrame, key: str, score: str, chosen: DataFrame, seed: str, n: int, share: Fraction = Fraction(1, 5), weight: Fraction = Fraction(3, 4)
+) -> DataFrame:
+    """(key, pick, remaining, score, numerator, denominator): ``n`` seeded picks that favour the highest scores left.
+
+    ``rows`` has unique keys; those of ``chosen`` are picked already. With ``remaining`` rows left, a pick is one of their
+    top ``share`` by (score descending, key) with probability ``weight``, and any of them with the rest; its probability,
+    given the picks before, is exact, and over all rows that remain such probabilities add up to one.
+
+    The order does not change while rows leave, so a pick is a place in it: rows are ranked once, over many tasks, and the
+    ``n`` places, a parameter, are drawn beside them. Null scores come last; NaN counts as null; rows with null keys are
+    left out. Raises ValueError if fewer than ``n`` rows are left.
+    """
+    value = F.col(score).cast("double")
+    open_ = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.when(~F.isnan(value), value).alias("score"))
+    open_ = open_.join(chosen.select(F.col(key).alias("k")).distinct(), "k", "left_anti")
+    ranked = numbered(open_.withColumn("least", F.coalesce(-F.col("score"), F.lit(float("inf")))), [], ["least", "k"], "rank")
+    made = adaptive_places(ranked.count(), seed, n, share, weight)
+    places = [(t, left, rank, str(p.numerator), str(p.denominator)) for t, left, rank, p in made]
+    drawn = rows.sparkSession.createDataFrame(places, "pick int, remaining long, rank long, numerator string, denominator string")
+    return ranked.join(drawn, "rank").select(F.col("k").alias(key), "pick", "remaining", "score", "numerator", "denominator")

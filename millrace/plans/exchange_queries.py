@@ -84,6 +84,14 @@ def path_integrals(spark, sf_dir):
     return out.select("id", *[F.round(c, 9).alias(c) for c in ("mass", "brier", "spent", "purchases", "duplicate")])
 
 
+@query("adaptive_receipts")
+def adaptive_receipts(spark, sf_dir):
+    """A hundred parts picked by how uncertain a forecast is, with the exact probability of each pick."""
+    forecast = F.col("p_size") / 51
+    part = table(spark, sf_dir, "part").select("p_partkey", F.round(4 * forecast * (1 - forecast), 9).alias("score"))
+    return acquisition.adaptive_picks(part, "p_partkey", "score", part.where("p_partkey % 13 = 0"), "adapt", 100)
+
+
 def _bundles(spark, sf_dir):
     """A conversation as one JSON value: its turns, the texts said before each, and who spoke."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))

@@ -306,6 +306,41 @@ def test_integrals_equal_all_paths(spark):
     assert 77 not in got
 
 
+def plain_picks(rows, chosen, seed, n):
+    """(key, pick, remaining, probability) of draws from the probabilities of all rows that remain."""
+    import hashlib
+
+    left, out = [r for r in rows if r[0] not in chosen], []
+    for t in range(n):
+        order = sorted(left, key=lambda r: (math.inf if r[1] is None else -r[1], r[0]))
+        top = max(1, math.ceil(Fraction(len(left), 5)))
+        p = [Fraction(1, 4) / len(left) + (Fraction(3, 4) / top if i < top else 0) for i in range(len(left))]
+        assert sum(p) == 1
+        u, total = Fraction(int(hashlib.sha256(f"{seed}:pick:{t}".encode()).hexdigest()[:16], 16), 2**64), Fraction(0)
+        for r, x in zip(order, p, strict=True):
+            total += x
+            if u < total:
+                out.append((r[0], t + 1, len(left), x))
+                left.remove(r)
+                break
+    return out
+
+
+def test_adaptive_picks_equal_the_plain_loop(spark):
+    r = random.Random(12)
+    rows = [(i, r.choice([None, 0.5, r.random(), r.random()])) for i in range(60)]
+    frame = spark.createDataFrame([*rows, (None, 1.0)], "k int, s double")
+    chosen = frame.where("k % 9 = 0")
+    fractions = lambda got: [(x.k, x.pick, x.remaining, Fraction(int(x.numerator), int(x.denominator))) for x in got.orderBy("pick").collect()]
+    for n in (20, 53):
+        assert fractions(acquisition.adaptive_picks(frame, "k", "s", chosen, "s", n)) == plain_picks(rows, set(range(0, 60, 9)), "s", n)
+    with pytest.raises(ValueError):
+        acquisition.adaptive_picks(frame, "k", "s", chosen, "s", 54)
+    part = [(x.p_partkey, round(4 * (x.p_size / 51) * (1 - x.p_size / 51), 9)) for x in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    got = fractions(registry.QUERIES["adaptive_receipts"](spark, SF).withColumnRenamed("p_partkey", "k"))
+    assert got == plain_picks(part, {k for k, _ in part if k % 13 == 0}, "adapt", 100)
+
+
 # Codecs --------------------------------------------------------------------------------------------------------
 
 
