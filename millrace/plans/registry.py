@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from millrace.plans import call_queries, conversion_queries, dedup_queries, exchange_queries, merge_queries, metric_queries, ordered_queries, partition_queries, record_queries, rule_queries, schedule_queries, score_queries, similarity_queries, witness_queries  # noqa: E402,F401
+from millrace.plans import call_queries, conversion_queries, dedup_queries, exchange_queries, journal_queries, merge_queries, metric_queries, ordered_queries, partition_queries, record_queries, rule_queries, schedule_queries, score_queries, similarity_queries, witness_queries  # noqa: E402,F401
