@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.calls import json_value
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of JSON lines (gzip included): source_id, text, witness, reason.
 
     ``reason`` is null for a valid row, else the first of: ``invalid_json``, ``source_id``, ``text``, ``duplicate_id``.
-    Blank lines are skipped. Duplicates are all rows of an id but the one with the smallest witness (file, line text).
+    Blank lines are skipped; a line with more after its first value is invalid. Duplicates are all rows of an id but
+    the one with the smallest witness (file, line text).
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
-    parsed = lines.withColumn("v", F.try_parse_json("value"))
+    parsed = lines.withColumn("v", json_value(F.col("value")))
     field = lambda name: F.try_variant_get("v", f"$.{name}", "string")
     kind = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
     rows = parsed.select(

@@ -10,14 +10,14 @@ from millrace.streaming import monitor
 
 
 def test_documents_with_reasons(spark, tmp_path):
-    lines = ['{"source_id": "a", "text": "x"}', "", '{"source_id": "a", "text": "y"}', '{"source_id": 1, "text": "z"}', '{"source_id": "b"}', "{oops"]
+    lines = ['{"source_id": "a", "text": "x"}', "", '{"source_id": "a", "text": "y"}', '{"source_id": 1, "text": "z"}', '{"source_id": "b"}', "{oops", '{"source_id": "d", "text": "x"} {}']
     (tmp_path / "in.jsonl").write_text("\n".join(lines))
     with gzip.open(tmp_path / "in2.jsonl.gz", "wt") as f:
         f.write('{"source_id": "c", "text": "w"}\n')
     rows = records.read_documents(spark, str(tmp_path))
     kept, ledger = records.accepted_and_excluded(rows)
     assert {r.source_id for r in kept.collect()} == {"a", "c"}
-    assert sorted(r.reason for r in ledger.collect()) == ["duplicate_id", "invalid_json", "source_id", "text"]
+    assert sorted(r.reason for r in ledger.collect()) == ["duplicate_id", "invalid_json", "invalid_json", "source_id", "text"]
 
 
 def test_sink_manifest_and_digests(spark, tmp_path):
