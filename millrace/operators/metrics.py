@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordinals import numbered
+from millrace.runtime import cut
+
 FLOOR = 1e-12
 
 
@@ -142,24 +145,18 @@ def gates(candidate: DataFrame, original: DataFrame, key: str, tolerances: dict[
 def cluster_bootstrap(rows: DataFrame, group: str, value: str, resamples: int, seed: int = 41) -> DataFrame:
     """difference, lower_95, upper_95, rows, groups: groups resampled whole, with replacement.
 
-    Draws are hashes of (seed, resample, draw), so results do not depend on partitioning. Only one row a group is
-    multiplied; draws meet the groups by a join on the group's number.
+    Draws are hashes of (seed, resample, draw), so results do not depend on partitioning. Each group makes one draw a
+    resample in its own place, so draws are spread like the groups, and meets the groups by their numbers, which come
+    from ranges. Null groups count as one, null values are ignored; no rows give nulls and zeros.
     """
-    from pyspark.sql import Window
-
     sums = rows.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy(group)) - 1)
-    total = sums.agg(F.count("*").alias("groups"), F.sum("s").alias("all_s"), F.sum("n").alias("rows"))
-    draws = total.select("groups", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).where("groups > 0")
-    draws = draws.select("r", "groups", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("d"))
+    ranked = cut(numbered(sums, [], [group], "k").select((F.col("k") - 1).alias("k"), "s", "n"))
+    total = ranked.agg(F.count("*").alias("groups"), F.sum("s").alias("all_s"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    draws = ranked.select(F.col("k").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     number = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "r", "d"), 256), 1, 8), 16, 10).cast("long")
-    estimates = (
-        draws.select("r", (number % F.col("groups")).alias("k"))
-        .join(numbered, "k")
-        .groupBy("r")
-        .agg((F.sum("s") / F.sum("n")).alias("e"))
-    )
+    drawn = draws.join(F.broadcast(total.select("groups"))).select("r", (number % F.col("groups")).alias("k"))  # one row
+    estimates = drawn.join(ranked, "k").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("e"))
     ends = estimates.agg(F.percentile("e", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return total.crossJoin(ends).select(
-        (F.col("all_s") / F.col("rows")).alias("difference"), F.col("q")[0].alias("lower_95"), F.col("q")[1].alias("upper_95"), "rows", "groups"
+    return total.join(F.broadcast(ends)).select(  # one row each
+        (F.col("all_s") / F.nullif("rows", F.lit(0))).alias("difference"), F.col("q")[0].alias("lower_95"), F.col("q")[1].alias("upper_95"), "rows", "groups"
     )

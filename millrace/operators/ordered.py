@@ -9,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_RULES = 10_000  # bounds the broadcast of first_matching_rule
+
 
 def history_prefix(turns: DataFrame, by: str, order: str, item: Column) -> DataFrame:
     """Add ``history`` (the items before a row, in order) and ``depth`` (how many)."""
@@ -126,9 +128,11 @@ def state_machine(events: DataFrame, by: str, order: list[str], event: str, init
 def first_matching_rule(rows: DataFrame, key: str, rules: DataFrame, condition: Column, default: str) -> DataFrame:
     """(key, result): the result of the first rule (by ``position``) that holds for the row, or the default.
 
-    ``condition`` refers to the row as ``r`` and to the rule as ``p``. Rules are a few rows, and are broadcast by size.
+    ``condition`` refers to the row as ``r`` and to the rule as ``p``. Rules are broadcast; more than ``MAX_RULES`` raise.
     """
-    hit = rows.alias("r").join(rules.alias("p"), condition, "left")
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    hit = rows.alias("r").join(F.broadcast(rules).alias("p"), condition, "left")
     return hit.groupBy(F.col(f"r.{key}").alias(key)).agg(F.coalesce(F.min_by("p.result", "p.position"), F.lit(default)).alias("result"))
 
 

@@ -24,12 +24,14 @@ def lookup(rows: DataFrame, parents: DataFrame, key: str, value: str, missing: s
 def permitted(policies: DataFrame, roles: DataFrame) -> DataFrame:
     """(user, resource) that some policy of the user's roles allows and none denies.
 
-    ``policies``: role, resource, effect; ``roles``: user, role.
+    ``policies``: role, resource, effect; ``roles``: user, role. Policies are reduced to one row a role and resource, and
+    repeated roles count once, before they meet: the join makes a row a user, role and resource. Null roles match none,
+    and an effect that is neither ``allow`` nor ``deny`` (null too) says nothing.
     """
-    effects = policies.join(roles, "role").groupBy("user", "resource").agg(
-        F.bool_or(F.col("effect") == "allow").alias("allow"), F.bool_or(F.col("effect") == "deny").alias("deny")
-    )
-    return effects.where("allow AND NOT deny").select("user", "resource")
+    said = lambda effect: F.coalesce(F.bool_or(F.col("effect") == effect), F.lit(False)).alias(effect)
+    rules = policies.groupBy("role", "resource").agg(said("allow"), said("deny")).where("allow OR deny")
+    held = roles.select("user", "role").distinct().join(rules, "role").groupBy("user", "resource")
+    return held.agg(F.bool_or("deny").alias("deny")).where("NOT deny").select("user", "resource")
 
 
 def free_candidates(candidates: DataFrame, bookings: DataFrame, width: int) -> DataFrame:

@@ -11,9 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordinals import numbered
 from millrace.runtime import cut
 
 OPEN_ROWS = 100_000  # links that a partition of the open state holds about
+FIRST_ROWS = 8_192  # rows of the first stretch of a capped selection
+GROWTH = 4  # and how many times as far each later one reaches
 
 
 def seeded(seed: str, *parts: str | Column) -> Column:
@@ -43,29 +46,50 @@ def queue_pairs(events: DataFrame, by: list[str], order: list[str], kind: str, c
     return lost.withColumns({"number": number, "matched": matched}).drop("__calls", "__replies", "__lost", "__before")
 
 
-def capped_greedy(rows: DataFrame, members: DataFrame, cap: int, cap_of: DataFrame | None = None) -> DataFrame:
+def capped_greedy(rows: DataFrame, members: DataFrame, cap: int, cap_of: DataFrame | None = None, first: int = FIRST_ROWS) -> DataFrame:
     """(id, taken): rows visited by ``rank``, each taken unless one of its groups already has as many as its cap.
 
-    ``rows`` has (id, rank), ids and ranks unique; ``members`` (id, group), repeats counting once; ``cap_of`` (group, cap)
-    overrides the cap of single groups. A row in no group is taken. Instead of one visit after another, each round decides
-    all rows whose groups are full (left out) or cannot fill up before them (taken); the first open row is always
-    decided, so rounds end, and decided rows leave the state. A group's open rows pass one sorted window, which spills.
+    ``rows`` has (id, rank), ids and ranks unique; ``members`` (id, group), repeats counting once and null groups being
+    none; ``cap_of`` (group, cap) overrides the cap of single groups. A row in no group is taken.
+
+    Instead of one visit after another, the first ``first`` rows are decided, then ``GROWTH`` times as many, and so on:
+    what follows a stretch loses the rows of groups that it filled in one pass, so a group of any size leaves once its
+    room is used. Within a stretch each round decides all rows whose groups are full (left out) or cannot fill up before
+    them (taken); the first open row is always decided, so rounds end. Rows that each wait for the one before are the
+    worst case, a round for every second one; in an order that has nothing to do with the groups rounds are few.
     """
+    placed = numbered(rows.select("id", "rank"), [], ["rank"], "at").select("id", "at")
     # Room counts rows taken later in rank too: those were taken only where every open row before them had its room left.
-    links = members.distinct().join(rows, "id")
+    links = members.where(F.col("group").isNotNull()).select("id", "group").distinct().join(placed, "id")
     room = F.lit(cap) if cap_of is None else F.coalesce("cap", F.lit(cap))
-    links = links if cap_of is None else links.join(cap_of, "group", "left")
-    links, decided = cut(links.select("id", "group", "rank", room.cast("long").alias("room"))), []  # links of open rows
-    before = Window.partitionBy("group").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    while links.take(1):
-        seen = links.withColumn("ahead", F.count("*").over(before))
-        verdict = seen.groupBy("id").agg(F.bool_or(F.col("room") <= 0).alias("full"), F.bool_and(F.col("ahead") < F.col("room")).alias("free"))
-        decided.append(cut(verdict.where("full or free").select("id", (~F.col("full")).alias("taken")), OPEN_ROWS))
-        used = links.join(decided[-1].where("taken"), "id", "left_semi").groupBy("group").agg(F.count("*").alias("used"))
-        still = links.join(decided[-1], "id", "left_anti").join(used, "group", "left")
-        links = cut(still.select("id", "group", "rank", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), OPEN_ROWS)
+    links = links if cap_of is None else links.join(cap_of.select("group", "cap"), "group", "left")
+    rest, decided = cut(links.select("id", "group", "at", room.cast("long").alias("room"))), []
+    whole, last, total = Window.partitionBy("group"), first, placed.count()
+    nth = F.row_number().over(whole.orderBy("at"))
+    taken_of = lambda x: x.where("taken").groupBy("group").agg(F.count("*").alias("used"))
+    own = Window.partitionBy("id")
+    full, free = F.max(F.col("room") <= 0).over(own), F.min(F.col("nth") <= F.col("room")).over(own)
+    while True:
+        stretch, judged = rest.where(F.col("at") <= last), []
+        some = stretch.take(1)
+        while some:
+            seen = stretch.withColumn("nth", nth).withColumn("taken", F.when(full, False).when(free, True)).drop("nth")
+            judged.append(cut(seen, OPEN_ROWS))
+            some = judged[-1].where("taken IS NULL").take(1)
+            used = F.count(F.when(F.col("taken"), 1)).over(whole)  # by group, as the next round's order is
+            stretch = judged[-1].withColumn("room", F.col("room") - used).where("taken IS NULL")
+        decided += [x.where("taken IS NOT NULL").select("id", "taken") for x in judged]
+        if last >= total:
+            break
+        later = rest.where(F.col("at") > last)
+        if judged:
+            used = reduce(DataFrame.unionByName, map(taken_of, judged)).groupBy("group").agg(F.sum("used").alias("used"))
+            later = later.join(used, "group", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used")
+        later = cut(later.withColumn("full", full), OPEN_ROWS)
+        decided.append(later.where("full").select("id", F.lit(False).alias("taken")))
+        rest, last = later.where("NOT full").drop("full"), last * GROWTH
     none = rows.select("id", F.lit(True).alias("taken")).limit(0)
-    known = reduce(DataFrame.unionByName, decided, none)
+    known = reduce(DataFrame.unionByName, decided, none).distinct()  # a decided row once a link
     return rows.select("id").join(known, "id", "left").select("id", F.coalesce("taken", F.lit(True)).alias("taken"))
 
 
@@ -109,18 +133,23 @@ def macro_bootstrap(rows: DataFrame, stratum: str, group: str, task: str, value:
     """One row: difference, lower_95, upper_95, groups, drawn: a macro mean over tasks and its percentile interval.
 
     Whole groups are drawn with replacement within their stratum, the same draws for every task; a draw that omits a
-    task is left out (``drawn`` counts the others). Null values are ignored. Every group makes one draw a resample in its
-    own place, so the draws are spread like the groups; a stratum's groups are numbered in one sorted window.
+    task is left out (``drawn`` counts the others). Null values are ignored; null strata, groups and tasks count as one
+    each. Every group makes one draw a resample in its own place, so the draws are spread like the groups, whose numbers
+    come from ranges; draws meet the sums of the groups that they hit in one join.
     """
     stats = cut(rows.groupBy(stratum, group, task).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
-    own = Window.partitionBy(stratum)
-    groups = stats.select(stratum, group).distinct().withColumn("k", F.row_number().over(own.orderBy(group)) - 1)
-    groups = cut(groups.withColumn("size", F.count("*").over(own)))
+    groups = numbered(stats.select(stratum, group).distinct(), [stratum], [group], "k").withColumn("k", F.col("k") - 1)
+    sizes = groups.groupBy(F.col(stratum).alias("__f")).agg(F.count("*").alias("size"))
+    groups = cut(groups.join(sizes, F.col(stratum).eqNullSafe(F.col("__f"))).select(stratum, group, "k", "size"))
     number = F.conv(F.substring(seeded(seed, "r", stratum, "k"), 1, 8), 16, 10).cast("long")
     draws = groups.select(stratum, "size", "k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    times = draws.groupBy(stratum, (number % F.col("size")).alias("k"), "r").agg(F.count("*").alias("times"))
-    drawn = times.join(groups.drop("size"), [stratum, "k"]).join(stats, [stratum, group])
-    each = drawn.groupBy("r", task).agg((F.sum(F.col("times") * F.col("s")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("m"))
+    draws = draws.select(F.col(stratum).alias("__f"), (number % F.col("size")).alias("__k"), "r")
+    names = groups.select(F.col(stratum).alias("__f"), F.col(group).alias("__g"), F.col("k").alias("__k"))
+    same = F.col(stratum).eqNullSafe(F.col("__f")) & F.col(group).eqNullSafe(F.col("__g"))
+    summed = stats.join(names, same).select("__f", "__k", F.col(task).alias("__t"), "s", "n").alias("x")
+    hit = F.col("d.__f").eqNullSafe(F.col("x.__f")) & (F.col("d.__k") == F.col("x.__k"))
+    drawn = draws.alias("d").join(summed, hit).select("r", F.col("__t").alias(task), "s", "n")
+    each = drawn.groupBy("r", task).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     means = each.groupBy("r").agg(F.avg("m").alias("m"), F.count("m").alias("tasks"))
     point = stats.groupBy(task).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m")).agg(F.avg("m").alias("difference"), F.count("m").alias("all"))
     ends = means.join(F.broadcast(point)).where("tasks = all").groupBy("difference").agg(  # one row

@@ -54,8 +54,8 @@ def free_intervals(spark, sf_dir):
 def latest_evidence(spark, sf_dir):
     hours = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     events = table(spark, sf_dir, "events").select("user_id", hours.alias("h"), "value")
-    now = events.agg(F.max("h")).first()[0]
-    return R.latest_state(events, "user_id", "h", "value", F.lit(now), 86400 * 3, 50.0)
+    now = events.agg(F.max("h").alias("now"))
+    return R.latest_state(events.join(F.broadcast(now)), "user_id", "h", "value", F.col("now"), 86400 * 3, 50.0)  # one row
 
 
 @query(

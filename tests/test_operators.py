@@ -218,5 +218,37 @@ def test_capped_greedy_against_visits(spark, cap):
             held[g] = held.get(g, 0) + want[i]
     caps = spark.createDataFrame([("a", 3)], "group string, cap int")
     frames = spark.createDataFrame(rows, "id int, rank int"), spark.createDataFrame(members, "id int, group string")
-    assert {x.id: x.taken for x in capped_greedy(*frames, cap, caps).collect()} == want
+    for first in (5, 1000):  # several stretches, and one
+        assert {x.id: x.taken for x in capped_greedy(*frames, cap, caps, first).collect()} == want
     assert capped_greedy(*[f.limit(0) for f in frames], cap).count() == 0
+
+
+def test_capped_greedy_of_chains_stars_and_missing_groups(spark):
+    from millrace.operators.schedules import capped_greedy
+
+    chain = spark.createDataFrame([(i, i) for i in range(8)], "id int, rank int")
+    pairs = spark.createDataFrame([(i, g) for i in range(8) for g in (i, i + 1)], "id int, group int")
+    assert {x.id for x in capped_greedy(chain, pairs, 1, first=3).collect() if x.taken} == {0, 2, 4, 6}
+    star = spark.createDataFrame([(i, 0) for i in range(7)] + [(7, None)], "id int, group int")  # a row in no group is taken
+    assert {x.id for x in capped_greedy(chain, star, 3, first=2).collect() if x.taken} == {0, 1, 2, 7}
+    assert {x.id for x in capped_greedy(chain, star, 0).collect() if x.taken} == {7}
+
+
+def test_permissions_of_repeats_and_nulls(spark):
+    policies = [("a", "x", "allow"), ("a", "x", "allow"), ("b", "x", "deny"), ("b", "y", None), ("c", "y", "allow"), (None, "z", "allow")]
+    roles = [("u", "a"), ("u", "a"), ("v", "a"), ("v", "b"), ("w", "b"), ("w", "c"), ("n", None)]
+    frames = spark.createDataFrame(policies, "role string, resource string, effect string"), spark.createDataFrame(roles, "user string, role string")
+    assert {tuple(x) for x in rules.permitted(*frames).collect()} == {("u", "x"), ("w", "y")}
+    assert rules.permitted(*[f.limit(0) for f in frames]).count() == 0
+
+
+def test_bootstraps_of_nulls_and_nothing(spark):
+    from millrace.operators.metrics import cluster_bootstrap
+    from millrace.operators.schedules import macro_bootstrap
+
+    rows = spark.createDataFrame([(f, g, "t", 2.0) for f in ("a", None) for g in (1, 2, None)] + [("a", 1, "t", None)], "f string, g int, t string, v double")
+    same = macro_bootstrap(rows, "f", "g", "t", "v", 20, "s").first()
+    assert tuple(same) == (2.0, 2.0, 2.0, 6, 20)
+    assert tuple(cluster_bootstrap(rows, "g", "v", 20).first()) == (2.0, 2.0, 2.0, 6, 3)
+    assert tuple(cluster_bootstrap(rows.limit(0), "g", "v", 20).first()) == (None, None, None, 0, 0)
+    assert macro_bootstrap(rows.limit(0), "f", "g", "t", "v", 20, "s").count() == 0
