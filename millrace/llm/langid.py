@@ -44,18 +44,14 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     letter = _letters()
     lowered = [(x or "").lower() for x in texts]
     sizes = np.fromiter((len(x) for x in lowered), np.int64, len(lowered))
-    joined = "\n".join(["", *lowered, ""])
-    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    # Every text has a separator of its own at both ends, so that its n-grams are the same whatever texts stand beside it.
+    chars = np.frombuffer("".join([f"\n{x}\n" for x in lowered]).encode("utf-32-le"), np.uint32)
     is_letter = letter[chars]
     chars = np.where(is_letter, chars, np.uint32(32))
-    text_of = np.zeros(len(chars), np.int32)  # separators belong to the text before them, and the first to none
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text_of[starts[:-1]] = 1
-    text_of = np.cumsum(text_of, dtype=np.int32) - 1
+    text_of = np.repeat(np.arange(len(lowered), dtype=np.int32), sizes + 2)
     keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    keep[:-1] |= is_letter[1:]
-    keep &= is_letter | ~np.concatenate([[False], keep[:-1] & ~is_letter[:-1]])
+    keep[1:] |= is_letter[:-1]  # of a run of other characters the first
+    keep[(np.cumsum(sizes + 2) - sizes - 2)] = True  # and the separator before the text, where others follow it too
     chars, text_of = chars[keep].astype(np.uint64), text_of[keep]
     if len(chars):
         lettered = np.zeros(len(lowered), bool)
@@ -139,18 +135,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Fit on all rows with a non-null label; null texts count as empty. No rows give a model that knows no language."""
+    """Fit on all rows with a non-null label; null texts count as empty. No rows give a model that knows no language.
+
+    The labels are counted before any text is: with more than ``MAX_LANGUAGES`` this raises, so that what the tasks hold
+    (128 kB a language) and what the driver takes in (a row a language and bucket that occurs) are bounded.
+    """
     rows = labelled.where(F.col(lang).isNotNull()).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang")
     )
+    known = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if known > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     if not table.num_rows:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS)))
     langs = table["lang"].combine_chunks().dictionary_encode()
     names = langs.dictionary.to_pylist()
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the bound is {MAX_LANGUAGES}")
     full = np.zeros((len(names), BUCKETS + 1))
     full[langs.indices.to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
     order = np.argsort(np.array(names, object))
@@ -196,7 +197,11 @@ def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def keep_identified(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.5
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is determined with at least ``min_score``."""
+    """The rows of ``docs``, with all their columns, whose language is determined with at least ``min_score``.
+
+    Rows with a null, empty or letterless text go, whatever ``min_score``; repeated rows are judged alike, rows without
+    an id teach nothing, an empty table stays empty, and no column is added, so no name can clash.
+    """
     model = train(docs.where(~held_out(F.col(doc_id))), text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)

@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
 import string
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -346,6 +348,77 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[i].lang_pred == truth[i].lang for i in judged]) > 0.95
 
 
+def plain_grams(text):
+    """All hashed n-grams of a text: runs of letters between single blanks, blanks alone left out."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    padded = [ord(c) for c in f" {' '.join(runs)} "] if runs else []
+    out = []
+    for n in langid.ORDERS:
+        for at in range(len(padded) - n + 1):
+            h = 0
+            for k, c in enumerate(padded[at : at + n], 1):
+                h = (h * 0x9E3779B97F4A7C15 + c + k) % 2**64
+            if n > 1 or padded[at] != 32:
+                out.append((h ^ h >> 29) * 0xD6E8FEB86659FD93 % 2**64 * langid.BUCKETS >> 64)
+    return out
+
+
+def plain_bayes(data):
+    """[(lang_pred, score, doubt)] of (doc_id, text, lang) rows: naive Bayes a document at a time."""
+    grams, n_docs = defaultdict(Counter), Counter()
+    for i, text, lang in data:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 and lang is not None:
+            grams[lang].update(plain_grams(text))
+            n_docs[lang] += 1
+    total = {x: sum(grams[x].values()) + langid.SMOOTHING * langid.BUCKETS for x in n_docs}
+    prior = {x: math.log(n / sum(n_docs.values())) for x, n in n_docs.items()}
+    for _, text, _ in data:
+        seen = Counter(plain_grams(text))
+        if not seen or not n_docs:
+            yield "und", 0.0, 1.0
+            continue
+        evidence = {x: math.fsum(n * math.log((grams[x][g] + langid.SMOOTHING) / total[x]) for g, n in seen.items()) for x in n_docs}
+        order = sorted(n_docs, key=lambda x: (-evidence[x] - prior[x], x))
+        tempered = {x: evidence[x] * min(1, langid.SCORE_NGRAMS / seen.total()) + prior[x] for x in n_docs}
+        top = max(tempered.values())
+        share = {x: math.exp(v - top) for x, v in tempered.items()}
+        doubt = evidence[order[0]] + prior[order[0]] - evidence[order[1]] - prior[order[1]] if len(order) > 1 else 1.0
+        yield order[0], share[order[0]] / sum(share.values()), doubt
+
+
+@pytest.mark.parametrize("which", ["docs", "edge", "empty"])
+def test_languages_equal_a_plain_bayes(request, which):
+    table = request.getfixturevalue(which)
+    data = [(r.doc_id, r.text, r.lang) for r in table.collect()]
+    want, got = defaultdict(list), defaultdict(list)
+    for (i, _, _), (lang, score, doubt) in zip(data, plain_bayes(data), strict=True):
+        want[i].append((round(score, 7), lang if doubt > 1e-6 else "tie"))
+    ties = {i for i, x in want.items() if any(lang == "tie" for _, lang in x)}
+    assert len(ties) <= len(data) // 50
+    for r in langid.predict_languages(table).collect():
+        got[r.doc_id].append((r.score, r.lang_pred))
+    assert set(got) == set(want)
+    for i in set(want) - ties:
+        a, b = sorted(got[i]), sorted(want[i])
+        assert [x for _, x in a] == [x for _, x in b] and np.allclose([x for x, _ in a], [x for x, _ in b], atol=1e-6)
+
+
+@given(st.lists(st.text(alphabet="aBß .\n1𝔘é", max_size=8), min_size=1, max_size=6))
+@settings(deadline=None)
+def test_ngrams_do_not_depend_on_other_texts(texts):
+    got = [Counter() for _ in texts]
+    for grams, counts in langid.features(texts):
+        for x, part in zip(got, np.split(grams, np.cumsum(counts)[:-1]), strict=True):
+            x.update(part.tolist())
+    assert got == [Counter(plain_grams(x)) for x in texts]
+
+
+def test_too_many_languages_are_refused(docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.predict_languages(docs)
+
+
 def test_held_out_labels_are_not_used(docs):
     blind = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("en")).otherwise(F.col("lang")))
     assert by_id(langid.predict_languages(docs)) == by_id(langid.predict_languages(blind))
