@@ -63,7 +63,8 @@ def integrate_paths(cases: DataFrame, policies: DataFrame, reports: list[float],
     # At most one entry a mask: repeated rows of a mask count once, the least.
     once = known.groupBy(case_id, "mask").agg(F.min(entry).alias("e"))
     table = once.groupBy(case_id).agg(F.map_from_entries(F.collect_list(F.struct("e.mask", F.struct("e.stop", "e.buy")))).alias("policy"))
-    held = cases.join(table, case_id, "left")
+    # Merged by sorting: Spark takes the maps for as small as the columns they are made of, and would broadcast them all.
+    held = cases.join(table.hint("merge"), case_id, "left")
     masks = F.sequence(F.lit(0), F.lit(size - 1))
     of = lambda m: F.try_element_at("policy", m)
     zeros = lambda n: F.array(*[F.lit(0.0)] * n)
