@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import calls as C
 from millrace.functions.records import first_reason, request_key
 from millrace.functions.text import let
-from millrace.operators.json_schema import compile_schemas, validate
+from millrace.operators.json_schema import SMALL_NODES, compile_schemas, validate
 from millrace.runtime import cut
 
 _EDGES = r"^\s+|\s+$"
@@ -92,7 +92,9 @@ def later_tool_calls(rows: DataFrame, row: str, messages: str, question: str, to
     read = rows.select(
         F.col(row).alias("row"), F.sha2(F.coalesce(F.col(tools), F.lit("")), 256).alias("set"), F.col(question).alias("question"), C.message_array(F.col(messages)).alias("messages")
     )
-    judged = read.join(faults, "set", "left").join(of_set, "set", "left")
+    # Few lists of tools serve many conversations: joined by shuffles, those of one list would be one task's.
+    small = F.broadcast if schemas.count() <= SMALL_NODES and faults.count() <= SMALL_NODES else (lambda df: df)
+    judged = read.join(small(faults), "set", "left").join(small(of_set), "set", "left")
     head = F.coalesce("fault", "unused", F.when(F.col("messages").isNull(), "invalid_messages"))
     heads = cut(judged.select("row", "set", "question", "messages", head.alias("head")))
 
@@ -108,7 +110,7 @@ def later_tool_calls(rows: DataFrame, row: str, messages: str, question: str, to
     # An id that occurs again is at fault from its second time on.
     again = Window.partitionBy("row", "made.call_id").orderBy("m.at")
     m = m.withColumn("times", F.when(F.col("m.modern") & F.col("made.call_id").isNotNull(), F.row_number().over(again)))
-    m = m.join(schemas.select("set", F.col("schema_id"), F.lit(True).alias("declared")), (m["set"] == schemas["set"]) & (F.concat_ws(":", m["set"], m["made.name"]) == F.col("schema_id")) & m["made.name"].isNotNull(), "left").drop(schemas["set"])
+    m = m.join(small(schemas.select("set", F.col("schema_id"), F.lit(True).alias("declared"))), (m["set"] == schemas["set"]) & (F.concat_ws(":", m["set"], m["made.name"]) == F.col("schema_id")) & m["made.name"].isNotNull(), "left").drop(schemas["set"])
     m = cut(m.withColumn("key", F.concat(F.col("row").cast("string"), F.lit(":"), F.col("m.at").cast("string"))))
     arguments = C.json_kind(C.json_value(F.col("made.arguments")))
     checked = m.where(has_calls & F.col("declared") & (arguments == "object")).select("key", "schema_id", F.col("made.arguments").alias("instance"))
