@@ -270,3 +270,22 @@ def test_shingles_leave_python_by_pieces(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 << 20  # 4 MB; 66 MB where the shingles of all texts exist at once
+
+
+def test_sets_are_not_written_and_only_paired_classes_are_signed(spark, tmp_path, monkeypatch):
+    from millrace.operators import similarity
+    from millrace.plans import similarity_queries
+
+    kept = []
+    note = lambda df, *rows: kept.append(cut(df, *rows)) or kept[-1]
+    cut = similarity.cut
+    monkeypatch.setattr(similarity, "cut", note)
+    monkeypatch.setattr(similarity_queries, "cut", note)
+    base = [f"w{i}" for i in range(40)]
+    texts = [base, base[:-1] + ["other"], [f"v{i}" for i in range(40)], base, [f"u{i}" for i in range(30)] + base[:9]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = similarity_queries.estimates(spark, str(tmp_path)).collect()
+    assert [(x.left_id, x.right_id) for x in got] == [(0, 1)]
+    assert all("shingles" not in x.columns for x in kept)
+    assert sorted(r.rep for x in kept if x.columns == ["rep", "s"] for r in x.collect()) == [0, 1]
