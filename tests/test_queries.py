@@ -175,3 +175,13 @@ def test_throughput_of_close_events(spark, duck, tmp_path):
     )
     wanted = duck.execute(registry.ORACLE_SQL["event_throughput"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
     assert sorted(map(tuple, registry.QUERIES["event_throughput"](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_state_differences_in_one_aggregation(spark, tmp_path):
+    lines = [(1, 20.0, 0.1), (1, 5.0, 0.0), (2, 20.0, 0.0), (3, 5.0, 0.0), (3, None, 0.0), (4, 5.0, 0.1), (None, 20.0, 0.1), (None, 1.0, 0.0)]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_tax double")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.QUERIES["state_differences"](spark, str(tmp_path))
+    want = [(1, 1, "missing"), (1, 2, "extra"), (3, 2, "extra"), (None, 1, "missing"), (None, 2, "extra")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Scan parquet") <= 1  # each state was counted twice
