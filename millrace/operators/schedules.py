@@ -129,6 +129,9 @@ def coverage_picks(rows: DataFrame, key: str, stratum: str, chosen: DataFrame, s
     return placed.where(F.col("place") <= n).select(key, stratum, "place", (1 / (eligible * remaining)).alias("probability"))
 
 
+TASK_DRAWS = 1_000_000  # draws of a bootstrap that one task makes about
+
+
 def macro_bootstrap(rows: DataFrame, stratum: str, group: str, task: str, value: str, resamples: int, seed: str) -> DataFrame:
     """One row: difference, lower_95, upper_95, groups, drawn: a macro mean over tasks and its percentile interval.
 
@@ -142,13 +145,16 @@ def macro_bootstrap(rows: DataFrame, stratum: str, group: str, task: str, value:
     sizes = groups.groupBy(F.col(stratum).alias("__f")).agg(F.count("*").alias("size"))
     groups = cut(groups.join(sizes, F.col(stratum).eqNullSafe(F.col("__f"))).select(stratum, group, "k", "size"))
     number = F.conv(F.substring(seeded(seed, "r", stratum, "k"), 1, 8), 16, 10).cast("long")
-    draws = groups.select(stratum, "size", "k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    # few rows make all the draws, and numbered groups lie in as few partitions as their bytes need; from those bytes
+    # Spark would also take the draws for small and broadcast them, so the join is told to sort
+    parts = max(groups.sparkSession.sparkContext.defaultParallelism, -(-groups.count() * resamples // TASK_DRAWS))
+    draws = groups.repartition(parts, stratum, "k").select(stratum, "size", "k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     draws = draws.select(F.col(stratum).alias("__f"), (number % F.col("size")).alias("__k"), "r")
     names = groups.select(F.col(stratum).alias("__f"), F.col(group).alias("__g"), F.col("k").alias("__k"))
     same = F.col(stratum).eqNullSafe(F.col("__f")) & F.col(group).eqNullSafe(F.col("__g"))
     summed = stats.join(names, same).select("__f", "__k", F.col(task).alias("__t"), "s", "n").alias("x")
     hit = F.col("d.__f").eqNullSafe(F.col("x.__f")) & (F.col("d.__k") == F.col("x.__k"))
-    drawn = draws.alias("d").join(summed, hit).select("r", F.col("__t").alias(task), "s", "n")
+    drawn = draws.alias("d").join(summed.hint("merge"), hit).select("r", F.col("__t").alias(task), "s", "n")
     each = drawn.groupBy("r", task).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     means = each.groupBy("r").agg(F.avg("m").alias("m"), F.count("m").alias("tasks"))
     point = stats.groupBy(task).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m")).agg(F.avg("m").alias("difference"), F.count("m").alias("all"))

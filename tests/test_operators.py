@@ -289,3 +289,16 @@ def test_sets_are_not_written_and_only_paired_classes_are_signed(spark, tmp_path
     assert [(x.left_id, x.right_id) for x in got] == [(0, 1)]
     assert all("shingles" not in x.columns for x in kept)
     assert sorted(r.rep for x in kept if x.columns == ["rep", "s"] for r in x.collect()) == [0, 1]
+
+
+def test_bootstrap_draws_are_spread_over_all_cores(spark, monkeypatch):
+    from millrace.operators import schedules
+
+    spread = []
+    monkeypatch.setattr(schedules, "TASK_DRAWS", 500)
+    repartition = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, n, *c: spread.append((n, *c)) or repartition(df, n, *c))
+    rows = spark.createDataFrame([("all", g, "t", float(g % 2)) for g in range(100)], "f string, g long, t string, v double")
+    got = schedules.macro_bootstrap(rows, "f", "g", "t", "v", 50, "seed").first()
+    assert (got.groups, got.drawn, got.difference) == (100, 50, 0.5)
+    assert (10, "f", "k") in spread
