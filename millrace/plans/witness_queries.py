@@ -13,6 +13,7 @@ from millrace.operators import rules
 from millrace.operators import schedules as S
 from millrace.operators import similarity
 from millrace.plans.registry import query
+from millrace.runtime import cut
 from millrace.sources.tables import table
 
 
@@ -211,8 +212,8 @@ def discounted_advantages(spark, sf_dir):
 @query("first_come_documents")
 def first_come_documents(spark, sf_dir):
     """Of distinct shingle sets in order of id, those not near (0.8) any accepted before: each near pair is a group of one place."""
-    _, classes = similarity.shingle_classes(table(spark, sf_dir, "documents"))
-    pairs = similarity.similar_classes(classes, 80)
+    known, classes = similarity.shingle_classes(table(spark, sf_dir, "documents"))
+    pairs = cut(similarity.similar_classes(classes, 80))
     members = pairs.select(F.explode(F.array("left_id", "right_id")).alias("id"), F.concat_ws(":", "left_id", "right_id").alias("group"))
-    rows = classes.select(F.col("rep").alias("id"), F.col("rep").alias("rank"))
+    rows = known.where("key = rep").select(F.col("rep").alias("id"), F.col("rep").alias("rank")).distinct()  # not of the sets
     return S.capped_greedy(rows, members, 1)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import records as R
 from millrace.functions import text as T
-from millrace.functions.text import normalize_lines, shingled, word_shingles
+from millrace.functions.text import coded, normalize_lines, shingled, word_shingles
 from millrace.operators import ordered, partition, rules
 from millrace.operators.components import connected_components
 from millrace.operators.dedup import dedup_decisions
-from millrace.operators.similarity import minhash_signature, shingle_classes, similar_classes
+from millrace.operators.similarity import minhash_signature, shingle_classes, similar_classes, text_signatures
 
 
 def test_normalize_lines(spark):
@@ -302,3 +302,21 @@ def test_bootstrap_draws_are_spread_over_all_cores(spark, monkeypatch):
     got = schedules.macro_bootstrap(rows, "f", "g", "t", "v", 50, "seed").first()
     assert (got.groups, got.drawn, got.difference) == (100, 50, 0.5)
     assert (10, "f", "k") in spread
+
+
+def test_codes_are_those_of_shingles(spark):
+    texts = ["", None, "a b", "A b c a B c", "x é A b C", "Ünï İst ﬁn x_y 1²3 a b c d a b c", "\U0001f600 a\U00010400b c d 漢字 かな x", "w " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    codes = {x.id: x.codes for x in coded(docs, "t").collect()}
+    sets = {x.id: x.s for x in docs.select("id", word_shingles(F.col("t")).alias("s")).collect()}
+    of = {}
+    for i, s in sets.items():
+        assert len(s) == len(codes.get(i, []))
+        for one in s:  # a shingle alone has the code that it has within a text
+            of[one] = coded(docs.limit(1).select("id", F.lit(one).alias("t")), "t").first().codes[0]
+    assert len(set(of.values())) == len(of)
+    assert {i: {of[x] for x in s} for i, s in sets.items() if s} == {i: set(c) for i, c in codes.items()}
+    signed = {x.id: x.signature for x in text_signatures(docs, "t", 2).collect()}
+    assert signed == {x.id: x.s for x in docs.select("id", minhash_signature(word_shingles(F.col("t")), 2).alias("s")).collect()}
+    _, classes = shingle_classes(docs, "id", "t")
+    assert dict(classes.dtypes) == {"rep": "int", "shingles": "array<bigint>", "n": "int"}  # no strings leave Python
