@@ -103,10 +103,9 @@ def _bundles(spark, sf_dir):
 def shared_bundles(spark, sf_dir):
     """Each conversation's bundle with its repeated parts in a catalog, its sizes, and whether it comes back."""
     bundles = _bundles(spark, sf_dir)
-    made = sharing.encode_shared(bundles, "conv_id", "bundle").withColumnRenamed("text", "shared")
-    back = sharing.decode_shared(made, "conv_id", "shared").select("conv_id", F.col("text").alias("back"))
-    plain = sharing.decode_columns(bundles, "conv_id", "bundle").select("conv_id", F.col("text").alias("plain"))
-    sized = made.join(back, "conv_id").join(plain, "conv_id")
+    made = sharing.encode_shared(bundles.where("conv_id is not null"), "conv_id", "bundle", ("bundle",)).select("conv_id", "bundle", F.col("text").alias("shared"))
+    back = sharing.decode_shared(made, "conv_id", "shared", ("bundle", "shared")).select("conv_id", "bundle", "shared", F.col("text").alias("back"))
+    sized = sharing.decode_columns(back, "conv_id", "bundle", ("shared", "back")).withColumnRenamed("text", "plain")
     return sized.select("conv_id", F.length("plain").alias("before"), F.length("shared").alias("after"), F.size(F.from_json(F.get_json_object("shared", "$['$catalog']"), "array<string>")).alias("entries"), (F.col("back") == F.col("plain")).alias("same"))
 
 
@@ -114,10 +113,10 @@ def shared_bundles(spark, sf_dir):
 def column_records(spark, sf_dir):
     """Each order's lines as JSON records, and as columns where that is shorter."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))).alias("lines"))
-    made = sharing.encode_columns(lines, "l_orderkey", "lines").withColumnRenamed("text", "made")
-    back = sharing.decode_columns(made, "l_orderkey", "made").select("l_orderkey", F.col("text").alias("back"))
-    plain = sharing.decode_columns(lines, "l_orderkey", "lines").select("l_orderkey", F.col("text").alias("plain"))
-    return made.join(back, "l_orderkey").join(plain, "l_orderkey").select("l_orderkey", F.length("plain").alias("before"), F.length("made").alias("after"), (F.col("back") == F.col("plain")).alias("same"))
+    made = sharing.encode_columns(lines.where("l_orderkey is not null"), "l_orderkey", "lines", ("lines",)).select("l_orderkey", "lines", F.col("text").alias("made"))
+    back = sharing.decode_columns(made, "l_orderkey", "made", ("lines", "made")).select("l_orderkey", "lines", "made", F.col("text").alias("back"))
+    sized = sharing.decode_columns(back, "l_orderkey", "lines", ("made", "back")).withColumnRenamed("text", "plain")
+    return sized.select("l_orderkey", F.length("plain").alias("before"), F.length("made").alias("after"), (F.col("back") == F.col("plain")).alias("same"))
 
 
 @query(
