@@ -119,6 +119,11 @@ def rotating_groups(
     turns = F.sequence(F.lit(1), F.lit(visits))
     claims = pairs.select("*", F.explode(turns).alias("visit")).withColumn("part", F.col("visit") if coverage_first else F.lit(1))
     claims = claims.withColumn("shuffled", seeded(seed, F.lit("visit"), F.col("visit").cast("string"), F.col("key")))
+    if required is not None and not shared:
+        # Before the last place required, a group's queue has given at most so many places and passed over at most so many
+        # claims, since each of these is of a row that has had a place, once a visit: nothing behind them comes to its turn.
+        queue = F.row_number().over(Window.partitionBy("part", "group").orderBy("visit", "shuffled", "key"))
+        claims = cut(claims.withColumn("queue", queue).where(F.col("queue") <= 2 * max(required, 0)).drop("queue"))
     claims = numbered(claims, ["part", "group"], ["visit", "shuffled", "key"], "pos")
     cap = lambda name, value, room: F.struct(F.concat(F.lit(f"{name}:"), value).alias("cap_key"), F.lit(room).cast("long").alias("cap"))
     own = cap("row", F.concat_ws(":", F.col("part").cast("string"), F.col("key").cast("string")), 1 if coverage_first else visits)
