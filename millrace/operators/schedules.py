@@ -17,6 +17,9 @@ from millrace.runtime import cut
 OPEN_ROWS = 100_000  # links that a partition of the open state holds about
 FIRST_ROWS = 8_192  # rows of the first stretch of a capped selection
 GROWTH = 4  # and how many times as far each later one reaches
+LEAST = 1024  # but of a large table the first has this share
+EARLY = 16  # this share is decided before the rest of the links is read
+BOUND_ROWS = 20_000  # ranks that bounds of stretches are read off
 
 
 def seeded(seed: str, *parts: str | Column) -> Column:
@@ -46,51 +49,89 @@ def queue_pairs(events: DataFrame, by: list[str], order: list[str], kind: str, c
     return lost.withColumns({"number": number, "matched": matched}).drop("__calls", "__replies", "__lost", "__before")
 
 
-def capped_greedy(rows: DataFrame, members: DataFrame, cap: int, cap_of: DataFrame | None = None, first: int = FIRST_ROWS) -> DataFrame:
+def capped_greedy(rows: DataFrame, members: DataFrame, cap: int | Column, cap_of: DataFrame | None = None, first: int = FIRST_ROWS) -> DataFrame:
     """(id, taken): rows visited by ``rank``, each taken unless one of its groups already has as many as its cap.
 
     ``rows`` has (id, rank), ids and ranks unique; ``members`` (id, group), repeats counting once and null groups being
-    none; ``cap_of`` (group, cap) overrides the cap of single groups. A row in no group is taken.
-
-    Instead of one visit after another, the first ``first`` rows are decided, then ``GROWTH`` times as many, and so on:
-    what follows a stretch loses the rows of groups that it filled in one pass, so a group of any size leaves once its
-    room is used. Within a stretch each round decides all rows whose groups are full (left out) or cannot fill up before
-    them (taken); the first open row is always decided, so rounds end. Rows that each wait for the one before are the
-    worst case, a round for every second one; in an order that has nothing to do with the groups rounds are few.
+    none; ``cap`` is a number or an expression of ``group``, and ``cap_of`` (group, cap) overrides it for single groups. A
+    row in no group is taken.
+
+    Instead of one visit after another, the first ``first`` rows are decided, then ``GROWTH`` times as many, and so on.
+    Before a stretch is decided it loses the rows of groups that the stretches before have filled. For that only the links of
+    the first of ``EARLY`` rows are kept as they are; all others meet the groups that those have filled as they are read, and
+    only what is left of them is kept. Within a stretch each round decides all rows whose groups are full (left out) or
+    cannot fill up before them (taken); the first open row is always decided, so rounds end. Rows that each wait for the
+    one before are the worst case, a round for every second one; in an order that has nothing to do with the groups rounds
+    are few.
+    """
+    rows, members = rows.select("id", "rank"), members.where(F.col("group").isNotNull()).select("id", "group")
+    cap, cap_of = F.lit(cap).cast("long"), None if cap_of is None else cut(cap_of.select("group", "cap"))
+    placed, early, last = _stretches(rows, first)
+    taken = []  # links of taken rows, a null group for rows in none
+    parts = [(0, early), (early, last)] if 0 < early < last else [(0, last)]
+    for begin, end in parts:
+        own = placed.where(F.col("stretch").between(begin, end - 1))
+        links = _open(own, members, cap, cap_of, taken)
+        for k in range(begin, end):
+            part = links.where(F.col("stretch") == k)
+            if k > begin:
+                part = _open(part.select("id", "rank", "stretch").distinct(), part, cap, cap_of, taken)
+            taken += _decided(part)
+    known = reduce(DataFrame.unionByName, taken).select("id").distinct().withColumn("taken", F.lit(True))
+    return rows.select("id").join(known, "id", "left").select("id", F.coalesce("taken", F.col("id").isNull()).alias("taken"))
+
+
+def _stretches(rows: DataFrame, first: int) -> tuple[DataFrame, int, int]:
+    """``rows`` with the number of their ``stretch`` from 0 on, how many of the stretches are early ones, and how many there are.
+
+    Bounds are read off the ranks of some ``BOUND_ROWS`` rows, so stretches are about as long as meant; any are right.
     """
-    placed = numbered(rows.select("id", "rank"), [], ["rank"], "at").select("id", "at")
-    # Room counts rows taken later in rank too: those were taken only where every open row before them had its room left.
-    links = members.where(F.col("group").isNotNull()).select("id", "group").distinct().join(placed, "id")
-    room = F.lit(cap) if cap_of is None else F.coalesce("cap", F.lit(cap))
-    links = links if cap_of is None else links.join(cap_of.select("group", "cap"), "group", "left")
-    rest, decided = cut(links.select("id", "group", "at", room.cast("long").alias("room"))), []
-    whole, last, total = Window.partitionBy("group"), first, placed.count()
-    nth = F.row_number().over(whole.orderBy("at"))
-    taken_of = lambda x: x.where("taken").groupBy("group").agg(F.count("*").alias("used"))
-    own = Window.partitionBy("id")
+    total, ends = rows.count(), []
+    end = max(first, total // LEAST)
+    while end < total:
+        ends, end = [*ends, end], end * GROWTH
+    if not ends:
+        return rows.withColumn("stretch", F.lit(0)), 0, 1
+    seen = rows if total <= BOUND_ROWS else rows.sample(BOUND_ROWS / total, seed=1)
+    at = lambda e: F.get("ranks", (F.size("ranks") * (e / total)).cast("int") - 1)
+    names = [f"bound{i}" for i in range(len(ends))]
+    bounds = seen.agg(F.sort_array(F.collect_list("rank")).alias("ranks")).select(*[at(e).alias(n) for n, e in zip(names, ends)])
+    bounds = F.broadcast(cut(bounds))  # one row
+    below = reduce(Column.__add__, [F.coalesce((F.col(n) < F.col("rank")).cast("int"), F.lit(0)) for n in names])
+    return rows.join(bounds).select("id", "rank", below.alias("stretch")), sum(e <= total // EARLY for e in ends), len(ends) + 1
+
+
+def _open(rows: DataFrame, members: DataFrame, cap: Column, cap_of: DataFrame | None, taken: list[DataFrame]) -> DataFrame:
+    """(id, rank, stretch, group, room): the links of those of ``rows`` none of whose groups is full; a null group for a row in none."""
+    room, links = cap, members.select("id", "group")
+    if cap_of is not None:
+        links, room = links.join(cap_of, "group", "left"), F.coalesce(F.col("cap").cast("long"), room)
+    if taken:
+        # Room counts rows taken later in rank too: those were taken only where every open row before them had its room left.
+        used = reduce(DataFrame.unionByName, taken).groupBy("group").agg(F.count("*").alias("used"))
+        links = links.join(used, "group", "left")
+        room = room - F.coalesce("used", F.lit(0))
+    links = links.withColumn("room", room)
+    links = links.select("id", F.when(F.col("room") > 0, F.col("group")).alias("group"), "room")  # of a full group no more is needed
+    full = F.max(F.coalesce(F.col("room") <= 0, F.lit(False))).over(Window.partitionBy("id"))
+    own = rows.join(links, "id", "left").withColumn("full", full).where("NOT full")
+    return cut(own.select("id", "rank", "stretch", "group", "room").distinct(), OPEN_ROWS)
+
+
+def _decided(opened: DataFrame) -> list[DataFrame]:
+    """(id, group) of the rows of a stretch that are taken, a frame a round."""
+    taken, left = [opened.where("group IS NULL").select("id", "group")], opened.where("group IS NOT NULL")
+    whole, own = Window.partitionBy("group"), Window.partitionBy("id")
+    nth = F.row_number().over(whole.orderBy("rank"))
     full, free = F.max(F.col("room") <= 0).over(own), F.min(F.col("nth") <= F.col("room")).over(own)
-    while True:
-        stretch, judged = rest.where(F.col("at") <= last), []
-        some = stretch.take(1)
-        while some:
-            seen = stretch.withColumn("nth", nth).withColumn("taken", F.when(full, False).when(free, True)).drop("nth")
-            judged.append(cut(seen, OPEN_ROWS))
-            some = judged[-1].where("taken IS NULL").take(1)
-            used = F.count(F.when(F.col("taken"), 1)).over(whole)  # by group, as the next round's order is
-            stretch = judged[-1].withColumn("room", F.col("room") - used).where("taken IS NULL")
-        decided += [x.where("taken IS NOT NULL").select("id", "taken") for x in judged]
-        if last >= total:
+    while left.take(1):
+        judged = cut(left.withColumn("nth", nth).withColumn("taken", F.when(full, False).when(free, True)).drop("nth"), OPEN_ROWS)
+        taken.append(judged.where("taken").select("id", "group"))
+        if not judged.where("taken IS NULL").take(1):
             break
-        later = rest.where(F.col("at") > last)
-        if judged:
-            used = reduce(DataFrame.unionByName, map(taken_of, judged)).groupBy("group").agg(F.sum("used").alias("used"))
-            later = later.join(used, "group", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used")
-        later = cut(later.withColumn("full", full), OPEN_ROWS)
-        decided.append(later.where("full").select("id", F.lit(False).alias("taken")))
-        rest, last = later.where("NOT full").drop("full"), last * GROWTH
-    none = rows.select("id", F.lit(True).alias("taken")).limit(0)
-    known = reduce(DataFrame.unionByName, decided, none).distinct()  # a decided row once a link
-    return rows.select("id").join(known, "id", "left").select("id", F.coalesce("taken", F.lit(True)).alias("taken"))
+        used = F.count(F.when(F.col("taken"), 1)).over(whole)  # by group, as the next round's order is
+        left = judged.withColumn("room", F.col("room") - used).where("taken IS NULL").drop("taken")
+    return taken
 
 
 def round_robin(rows: DataFrame, key: str, group: str, seed: str, required: int, visits: int = 1) -> DataFrame:

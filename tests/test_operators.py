@@ -235,6 +235,27 @@ def test_capped_greedy_of_chains_stars_and_missing_groups(spark):
     assert {x.id for x in capped_greedy(chain, star, 0).collect() if x.taken} == {7}
 
 
+def test_capped_greedy_keeps_few_links(spark, monkeypatch):
+    from millrace.operators import schedules
+
+    r = random.Random(5)
+    rows = [(i, x) for i, x in enumerate(r.sample(range(10_000), 2000))]
+    members = [(i, g) for i in range(2000) for g in (f"r{r.randrange(200)}", f"s{r.randrange(10)}")]
+    groups, held, want = {}, {}, {}
+    for i, g in members:
+        groups.setdefault(i, set()).add(g)
+    for i, _ in sorted(rows, key=lambda x: x[1]):
+        want[i] = all(held.get(g, 0) < (1 if g[0] == "r" else 4) for g in groups[i])
+        for g in groups[i]:
+            held[g] = held.get(g, 0) + want[i]
+    kept, cut = [], schedules.cut
+    monkeypatch.setattr(schedules, "cut", lambda df, *n: kept.append(cut(df, *n)) or kept[-1])
+    frames = spark.createDataFrame(rows, "id int, rank int"), spark.createDataFrame(members, "id int, group string")
+    cap = F.when(F.col("group").startswith("r"), 1).otherwise(4)
+    assert {x.id: x.taken for x in schedules.capped_greedy(*frames, cap, first=40).collect()} == want
+    assert sum(x.count() for x in kept) < len(set(members))  # filled groups' links are not written, nor passed on
+
+
 def test_permissions_of_repeats_and_nulls(spark):
     policies = [("a", "x", "allow"), ("a", "x", "allow"), ("b", "x", "deny"), ("b", "y", None), ("c", "y", "allow"), (None, "z", "allow")]
     roles = [("u", "a"), ("u", "a"), ("v", "a"), ("v", "b"), ("w", "b"), ("w", "c"), ("n", None)]
