@@ -93,30 +93,20 @@ def owned_servers(records: DataFrame, aliases: DataFrame, priorities: DataFrame)
     """(server, reason) of the servers blocked: an alias or a request must belong to servers of one priority.
 
     ``records`` has (record, request, server) rows, ``aliases`` (server, alias), ``priorities`` (server, priority), one row
-    a server. In each round the servers not yet blocked meet under each alias, and those of records without blocked
-    servers and of a single priority meet under each request; all but those of the highest priority are blocked for good.
-    Rounds end when none is added; a server blocked for both reasons in a round has the lesser one.
+    a server. Servers meet under each alias, and those of records of a single priority meet under each request; all but
+    those of the highest priority are blocked, with the lesser reason where there are both.
+
+    To repeat this without the blocked servers and the records that have one blocks no more: whoever was below the highest
+    priority of an alias or request is blocked, and of those left there no one can be below another. So one round does.
     """
-    spark = records.sparkSession
-    kind = priorities.schema["server"].dataType
-    blocked = spark.createDataFrame([], f"server {kind.simpleString()}, reason string")
-    records, aliases = cut(records.distinct()), cut(aliases.distinct())
-    ranked = cut(priorities)
+    under_alias = aliases.join(priorities, "server")
+    ranked = records.join(priorities, "server")
+    sound = ranked.groupBy("record").agg(F.min("priority").alias("low"), F.max("priority").alias("high")).where("low = high")
+    under_request = cut(ranked.join(sound.select("record"), "record").select("request", "server", "priority"))
 
     def losers(members: DataFrame, key: str, reason: str) -> DataFrame:
         best = members.groupBy(key).agg(F.max("priority").alias("best"))
-        return members.join(cut(best), key).where("priority < best").select("server", F.lit(reason).alias("reason"))
-
-    while True:
-        out = blocked.select("server").distinct()
-        alive = ranked.join(out, "server", "left_anti")
-        under_alias = aliases.join(alive, "server")
-        marked = records.join(ranked, "server").join(out.withColumn("out", F.lit(1)), "server", "left")
-        sound = marked.groupBy("record").agg(F.max("out").alias("out"), F.min("priority").alias("low"), F.max("priority").alias("high"))
-        sound = cut(sound.where("out is null and low = high").select("record"))
-        under_request = records.join(sound, "record").join(ranked, "server").select("request", "server", "priority").distinct()
-        new = losers(under_alias, "alias", "schema_alias").unionByName(losers(under_request, "request", "repeated_request"))
-        new = cut(new.groupBy("server").agg(F.min("reason").alias("reason")).join(out, "server", "left_anti"))
-        if not new.take(1):
-            return blocked
-        blocked = cut(blocked.unionByName(new))
+        return members.join(best, key).where("priority < best").select("server", F.lit(reason).alias("reason"))
+
+    lost = losers(under_alias, "alias", "schema_alias").unionByName(losers(under_request, "request", "repeated_request"))
+    return lost.groupBy("server").agg(F.min("reason").alias("reason"))
