@@ -30,10 +30,18 @@ def json_value(text: Column) -> Column:
 
 def json_kind(value: Column, path: str = "$") -> Column:
     """``object``, ``array``, ``string``, ``null`` or ``other`` for the value at a path of a variant; null where there is none."""
-    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return _kind(F.schema_of_variant(value if path == "$" else F.try_variant_get(value, path, "variant")))
+
+
+def _kind(kind: Column) -> Column:
     return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "VOID", "null").when(kind.isNotNull(), "other")
 
 
+def is_object(value: Column) -> Column:
+    """Whether a variant is an object; false for null."""
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
 def json_items(value: Column, path: str = "$") -> Column:
     """The items of an array at a path of a variant, as variants; null where there is no array."""
     return F.try_variant_get(value, path, "array<variant>")
@@ -41,15 +49,20 @@ def json_items(value: Column, path: str = "$") -> Column:
 
 def json_text(value: Column, path: str = "$") -> Column:
     """A string at a path as it is, any other value as JSON text; null where there is none."""
-    return F.when(json_kind(value, path) == "string", F.try_variant_get(value, path, "string")).otherwise(F.to_json(F.try_variant_get(value, path, "variant")))
+    value = value if path == "$" else F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
 
+def _string(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-def _string(value: Column, path: str) -> Column:
-    return F.when(json_kind(value, path) == "string", F.try_variant_get(value, path, "string"))
 
+_CALLED = "struct<name variant, arguments variant>"
+_MESSAGE = "struct<role variant, content variant, name variant, tool_call_id variant, tool_calls variant, function_call variant>"
 
-def _call(value: Column, call_id: Column, path: str = "$") -> Column:
-    return F.struct(call_id.alias("call_id"), _string(value, f"{path}.name").alias("name"), json_text(value, f"{path}.arguments").alias("arguments"))
+
+def _call(called: Column, call_id: Column) -> Column:
+    return F.struct(call_id.alias("call_id"), _string(called["name"]).alias("name"), json_text(called["arguments"]).alias("arguments"))
 
 
 def message_array(text: Column) -> Column:
@@ -62,21 +75,30 @@ def message_array(text: Column) -> Column:
     no object.
     """
 
+    # One step after another, each of what the one before has made: an expression is evaluated wherever it is named.
+    def fields(m: Column) -> Column:
+        return F.struct(_string(m["role"]).alias("role"), F.schema_of_variant(m["content"]).alias("content_schema"), F.to_json(m["function_call"]).alias("old"), m.alias("m"))
+
+    def parts(f: Column) -> Column:
+        m, by_assistant = f["m"], f["role"] == "assistant"
+        new = F.try_variant_get(m["tool_calls"], "$", f"array<struct<id variant, function {_CALLED}>>")
+        old = F.when(f["old"] != "{}", F.try_variant_get(m["function_call"], "$", _CALLED))
+        return F.struct(
+            f["role"].alias("role"), _kind(f["content_schema"]).alias("content_kind"), m["content"].alias("content"), _string(m["name"]).alias("name"),
+            _string(m["tool_call_id"]).alias("response_to"), F.when(by_assistant, old).alias("old"), F.when(by_assistant, new).alias("new"),
+        )
+
     def message(m: Column, at: Column) -> Column:
-        old = (json_kind(m, "$.function_call") == "object") & (F.to_json(F.try_variant_get(m, "$.function_call", "variant")) != "{}")
-        new = F.size(json_items(m, "$.tool_calls")) > 0
-        role = _string(m, "$.role")
-        by_assistant = role == "assistant"
-        calls = F.when(by_assistant & new, F.transform(json_items(m, "$.tool_calls"), lambda c: _call(c, _string(c, "$.id"), "$.function"))).when(
-            by_assistant & old, F.array(_call(m, F.lit(None).cast("string"), "$.function_call"))
-        )
+        old, new = m["old"].isNotNull(), F.coalesce(F.size(m["new"]) > 0, F.lit(False))
+        text = F.when(m["content_kind"] == "string", F.try_variant_get(m["content"], "$", "string")).otherwise(F.to_json(m["content"]))
+        calls = F.when(new, F.transform(m["new"], lambda c: _call(c["function"], _string(c["id"])))).when(old, F.array(_call(m["old"], F.lit(None).cast("string"))))
         return F.struct(
-            at.alias("at"), role.alias("role"), json_kind(m, "$.content").alias("content_kind"), json_text(m, "$.content").alias("content"), _string(m, "$.name").alias("name"),
-            _string(m, "$.tool_call_id").alias("response_to"), F.coalesce(by_assistant & old & new, F.lit(False)).alias("ambiguous"),
-            F.coalesce(by_assistant & new, F.lit(False)).alias("modern"), F.coalesce(calls, F.array().cast(f"array<{CALL}>")).alias("calls"),
+            at.alias("at"), m["role"].alias("role"), m["content_kind"].alias("content_kind"), text.alias("content"), m["name"].alias("name"), m["response_to"].alias("response_to"),
+            (old & new).alias("ambiguous"), new.alias("modern"), F.coalesce(calls, F.array().cast(f"array<{CALL}>")).alias("calls"),
         )
 
-    return let(json_items(json_value(text)), lambda items: F.transform(items, message))
+    read = F.transform(json_items(json_value(text)), lambda m: F.try_variant_get(m, "$", _MESSAGE))
+    return F.transform(F.transform(F.transform(read, fields), parts), message)
 
 
 def _leading(text):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import calls as C
-from millrace.operators import conversations
+from millrace.operators import conversations, json_schema
 
 TOOLS = [
     {"name": "a", "description": "A", "parameters": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}},
@@ -175,6 +175,49 @@ def test_later_calls_of_random_messages(spark, dialogues):
     assert all(len(same) == 1 for same in parts.values()) and len(parts) > 20
 
 
+def written(spark):
+    """Bytes in the checkpoint folder."""
+    import pathlib
+
+    from millrace.runtime import ensure_checkpoint_dir
+
+    return sum(p.stat().st_size for p in pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
+def test_conversations_are_neither_shuffled_nor_written(spark, dialogues):
+    def run(times):
+        rows = [(i, json.dumps(d), "Do it", json.dumps(TOOLS)) for i, d in enumerate(dialogues * times)]
+        frame, before = spark.createDataFrame(rows, "i int, m string, q string, t string"), written(spark)
+        choices, verdicts = conversations.later_tool_calls(frame, "i", "m", "q", "t")
+        assert choices.count() and verdicts.count() == len(rows)
+        return [choices.drop("history"), verdicts], written(spark) - before
+
+    frames, once = run(1)
+    assert run(4)[1] < once + 10_000
+    for frame in frames:
+        assert not re.findall("hashpartitioning|rangepartitioning", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def test_later_calls_under_deep_schemas(spark, monkeypatch):
+    deep = {"name": "d", "parameters": {"properties": {"x": {"items": {"properties": {"y": {"items": {"properties": {"z": {"type": "integer"}}}}}}}}}}
+    at = lambda z: json.dumps({"x": [{"y": [{"z": 1}, {"z": z}]}]})
+
+    def talk(*calls):
+        out = [{"role": "user", "content": "Do it"}]
+        for name, arguments in calls:
+            out += [{"role": "assistant", "function_call": {"name": name, "arguments": arguments}}, {"role": "function", "name": name, "content": "ok"}]
+        return json.dumps(out)
+
+    cases = [talk(("d", at(1)), ("a", '{"n": 1}')), talk(("a", '{"n": 1}'), ("d", at("no"))), talk(("d", at(1)), ("a", '{"n": "no"}')), talk(("d", at("no")), ("x", "{}")), talk(("x", "{}"), ("d", at("no"))), talk()]
+    rows = spark.createDataFrame([(i, t, "Do it", json.dumps([*TOOLS, deep])) for i, t in enumerate(cases)], "i int, m string, q string, t string")
+    for deepest in (4, 6):  # in rounds of joins, and within the row
+        monkeypatch.setattr(conversations, "IN_ROW", deepest)
+        monkeypatch.setattr(json_schema, "IN_ROW", deepest)
+        choices, verdicts = conversations.later_tool_calls(rows, "i", "m", "q", "t")
+        assert [x.reason for x in sorted(verdicts.collect())] == [None, *["argument_schema_violation"] * 3, "undeclared_call", None]
+        assert [(x.i, x.at, x.name, x.preceding) for x in choices.collect()] == [(0, 3, "a", 1)]
+
+
 def test_lists_of_tools_that_are_not_used(spark):
     talk = json.dumps([{"role": "user", "content": "Do it"}])
     ref = [{"name": "r", "parameters": {"$ref": "#/x"}}]
