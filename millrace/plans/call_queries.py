@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.calls import error_shaped
 from millrace.operators import conversations
 from millrace.plans.registry import query
-from millrace.sources.tables import table
+from millrace.sources.tables import spread, table
 
 _TOOLS = """[{"name": "price", "description": "Prices an order.", "parameters": {"type": "object", "properties": {"amount": {"type": "number", "maximum": 400000}, "status": {"enum": ["O", "F"]}}, "required": ["amount", "status"]}},
   {"name": "ship", "description": "Ships an order.", "parameters": {"$schema": "https://json-schema.org/draft/2020-12/schema", "properties": {"to": {"type": "integer", "minimum": 3}}, "required": ["to"]}}]"""
@@ -17,7 +17,7 @@ def _dialogues(spark, sf_dir):
     """Orders as conversations: a request, a call to price the order, its answer, a call to ship it, its answer.
 
     What remains of a key by 11 decides which of the calls' rules a conversation breaks, if any; its price, status and
-    customer whether the arguments keep their schemas.
+    customer whether the arguments keep their schemas. Reading one takes far longer than reading its order.
     """
     case = F.col("o_orderkey") % 11
     key = F.col("o_orderkey").cast("string")
@@ -37,7 +37,7 @@ def _dialogues(spark, sf_dir):
     )
     text = F.when(case == 10, F.concat(F.lit("["), parts)).otherwise(F.concat(F.lit("["), parts, F.lit("]")))
     question = F.concat(F.lit("Please handle order "), key)
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("messages"), question.alias("question"), F.lit(_TOOLS).alias("tools"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", text.alias("messages"), question.alias("question"), F.lit(_TOOLS).alias("tools"))
 
 
 @query(
