@@ -97,7 +97,7 @@ def message_array(text: Column) -> Column:
             (old & new).alias("ambiguous"), new.alias("modern"), F.coalesce(calls, F.array().cast(f"array<{CALL}>")).alias("calls"),
         )
 
-    read = F.transform(json_items(json_value(text)), lambda m: F.try_variant_get(m, "$", _MESSAGE))
+    read = F.try_variant_get(json_value(text), "$", f"array<{_MESSAGE}>")
     return F.transform(F.transform(F.transform(read, fields), parts), message)
 
 
